@@ -42,3 +42,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds of a table of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Row keys are broadcast only up to this number, 8 bytes each; larger sets are joined by a shuffle.
+MAX_BROADCAST_KEYS = 500_000
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of docs whose column `name` is not among the keys; the set's size picks the join."""
+    keys = written(keys.select(name).distinct(), "keys")
+    small = keys.count() <= MAX_BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), name, "left_anti")
+
+
+def sampled(df: DataFrame, id_col: str, limit: int) -> DataFrame:
+    """At most `limit` rows, those whose ids have the least hashes: a bounded sample, the same on every run."""
+    n = df.count()
+    if n <= limit:
+        return df
+    hashed = df.withColumn("__h", F.shiftrightunsigned(F.xxhash64(id_col), 1))
+    near = hashed.where(F.col("__h") < int(2**63 * min(1.0, 1.5 * limit / n)))
+    return near.orderBy("__h", id_col).limit(limit).drop("__h")
+
+
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Ids that some label calls good and none calls bad or toxic; null labels don't vouch for a row."""
+    bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))
+    good = F.max(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0))
+    return labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(bad.alias("bad"), good.alias("good")).where("bad = 0 and good = 1").select(id_col)
