@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import perplexity, phrase_index, quality_rules, simhash
+from . import perplexity, personal_data, phrase_index, quality_rules, simhash
 from .shared import small_batches, table
 
 
@@ -52,6 +52,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_spans(table(spark, sf_dir, "documents"))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *(count(k) for k in personal_data.KINDS), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"))
+
+
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,7 +67,7 @@ def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_phrase_index, op5_quality_rules, op6_simhash, op9_perplexity)}
+    return {f.__name__: f for f in (op4_phrase_index, op5_quality_rules, op6_simhash, op8_personal_data, op9_perplexity)}
 
 
 def oracle_sql() -> dict[str, str]:
