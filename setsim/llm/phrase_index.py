@@ -25,6 +25,8 @@ from .words import ALNUM, blocks, hash_words, words
 #: Query phrases handled in one pass over the documents; more take more passes.
 MAX_PHRASES = 100_000
 SHIFT = 32
+#: Text of one shard; a longer document is a shard of its own.
+SHARD_BYTES = 1 << 20
 
 
 class Phrases:
@@ -83,7 +85,7 @@ def build_index(docs: DataFrame, terms: np.ndarray, text: str = "text") -> DataF
         terms = known.value
         for b in batches:
             rows = pa.StructArray.from_arrays([b.column(c) for c in rest], names=rest)
-            for block in blocks(b.column(text)):
+            for block in blocks(b.column(text), SHARD_BYTES):
                 w = words(block, ALNUM)
                 term = np.searchsorted(terms, w.hashes)
                 hit = np.zeros(len(term), dtype=bool)

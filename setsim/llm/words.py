@@ -16,7 +16,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 U64 = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
