@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import perplexity, personal_data, phrase_index, quality_rules, simhash
+from . import extract, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash
 from .shared import small_batches, table
 
 
@@ -17,6 +17,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Shares of tokens by domain, for the mixing query and the pipeline's last stage.
+TARGETS = {"clean": 0.90, "low": 0.04, "toxic": 0.06}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    found = mixing.mix(table(spark, sf_dir, "documents"), labelled, TARGETS, keep=("source",))
+    chances = (F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(TARGETS))
+    return found.select("doc_id", "source", "n_tokens", *chances, "rate", "n_copies")
+
+
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -67,7 +83,7 @@ def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_phrase_index, op5_quality_rules, op6_simhash, op8_personal_data, op9_perplexity)}
+    return {f.__name__: f for f in (op1_mixing, op2_extract, op4_phrase_index, op5_quality_rules, op6_simhash, op8_personal_data, op9_perplexity)}
 
 
 def oracle_sql() -> dict[str, str]:
