@@ -6,20 +6,52 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from setsim.llm import simhash
-from setsim.llm.shared import shared_dir, small_batches, table
+from setsim.llm import mixing, perplexity, personal_data, phrase_index, simhash
+from setsim.llm.shared import KEY, row_key, shared_dir, small_batches, table, without_keys
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Shares of tokens by domain that the last stage aims at, after the first has removed most low-quality text.
+TARGETS = {"clean": 0.94, "low": 0.01, "toxic": 0.05}
+#: Tokens wanted per token there is; above 1 by enough that clean documents keep a rate of 1 at least.
+EPOCHS = 1.25
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes the documents whose perplexity the classifier rejects."""
+    small_batches(spark)
+    judged = perplexity.classify(docs, table(spark, sf_dir, "labels"))
+    return without_keys(docs.withColumn(KEY, row_key("doc_id", "lang", "text")), judged.where("not kept"), KEY).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
     small_batches(spark)
     return simhash.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes the documents that hold a window of a benchmark item."""
+    small_batches(spark)
+    found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without_keys(docs.withColumn(KEY, row_key("doc_id", "text")), found.where("n_hit > 0"), KEY).select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; no document goes. n_chars follows the text."""
+    clean = personal_data.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds rates that bring the domains to their target shares; documents of no copy go."""
+    return mixing.mix_rows(docs, mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS, epochs=EPOCHS)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("mix", mix)]
 
 #: SQL cannot express fingerprints, trained models or fitted rates; tests hold the stages against plain versions.
 ORACLE_SQL = None
