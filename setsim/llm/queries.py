@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash
-from .shared import small_batches, table
+from . import extract, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash, suffix_dedup
+from .shared import KEY, small_batches, table
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop(KEY)
+
+
 def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -83,7 +88,7 @@ def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_extract, op4_phrase_index, op5_quality_rules, op6_simhash, op8_personal_data, op9_perplexity)}
+    return {f.__name__: f for f in (op1_mixing, op2_extract, op3_suffix_dedup, op4_phrase_index, op5_quality_rules, op6_simhash, op8_personal_data, op9_perplexity)}
 
 
 def oracle_sql() -> dict[str, str]:
