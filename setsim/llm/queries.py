@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash, suffix_dedup
+from . import extract, language_model, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash, suffix_dedup
 from .shared import KEY, small_batches, table
 
 
@@ -73,6 +73,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find_spans(table(spark, sf_dir, "documents"))
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -88,7 +93,7 @@ def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_extract, op3_suffix_dedup, op4_phrase_index, op5_quality_rules, op6_simhash, op8_personal_data, op9_perplexity)}
+    return {f.__name__: f for f in (op1_mixing, op2_extract, op3_suffix_dedup, op4_phrase_index, op5_quality_rules, op6_simhash, op7_language_model, op8_personal_data, op9_perplexity)}
 
 
 def oracle_sql() -> dict[str, str]:
