@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, language_model, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash, suffix_dedup
+from . import extract, language_model, licenses, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash, suffix_dedup
 from .shared import KEY, small_batches, table
 
 
@@ -92,8 +92,15 @@ def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "n_words", "perplexity", "threshold", "kept")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: a folder for each source, and in it one for each language."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    return licenses.scan(files, keep=("doc_id",))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_extract, op3_suffix_dedup, op4_phrase_index, op5_quality_rules, op6_simhash, op7_language_model, op8_personal_data, op9_perplexity)}
+    return {f.__name__: f for f in (op1_mixing, op2_extract, op3_suffix_dedup, op4_phrase_index, op5_quality_rules, op6_simhash, op7_language_model, op8_personal_data, op9_perplexity, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
