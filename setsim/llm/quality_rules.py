@@ -23,7 +23,7 @@ BUCKETS = 1 << 16
 #: Most labelled documents the trusted multinomial is fitted to.
 MAX_TRUSTED = 20_000
 #: Share of the trusted documents allowed below the threshold, and a margin below that.
-LOW_SHARE, MARGIN = 0.01, 0.05
+LOW_SHARE, MARGIN = 0.01, 0.1
 SYMBOLS = byte_class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 CHAR_START = ~byte_class((0x80, 0xBF))
 
@@ -132,18 +132,19 @@ def measured(docs: DataFrame, ratios: np.ndarray, text: str) -> DataFrame:
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_trusted: int = MAX_TRUSTED, low_share: float = LOW_SHARE, margin: float = MARGIN) -> DataFrame:
     """For each row: id_col, __row_key, the counts, llr, base_failed, kept.
 
-    Trusted rows are a bounded sample of the labelled ones (label table: the same id
-    column, quality, toxic). The threshold is their low_share quantile of llr less the
-    margin; without any trusted row the verdict is kept unless base_failed. Null, empty
+    The trusted multinomial is fitted to at most max_trusted, and at most half, of the rows
+    that the label table (the same id column, quality, toxic) trusts. The threshold is the
+    low_share quantile of llr of all the other trusted rows, less the margin; without any trusted row the verdict is kept unless base_failed. Null, empty
     and wordless texts have zero counts and fail. Repeated rows each get a row, an empty
     table gives none, and columns not named are ignored.
     """
     rows = docs.select(F.col(id_col), F.col(text).alias("__text")).withColumn(KEY, row_key(id_col, "__text"))
-    sample = written(sampled(trusted_ids(labels, id_col), id_col, max_trusted), "trusted")
-    good = F.broadcast(sample)  # max_trusted ids at most
-    ratios = log_ratios(rows, rows.join(good, id_col, "left_semi"), "__text")
+    trusted = written(trusted_ids(labels, id_col), "trusted")
+    fitted = F.broadcast(written(sampled(trusted, id_col, min(max_trusted, (trusted.count() + 1) // 2)), "fit"))  # max_trusted ids at most
+    ratios = log_ratios(rows, rows.join(fitted, id_col, "left_semi"), "__text")
     found = written(measured(rows, ratios, "__text"), "measured")
-    low = found.where("n_words >= 50").join(good, id_col, "left_semi").agg(F.percentile_approx("llr", low_share, 10_000).alias("t")).first()["t"]
+    others = trusted.join(fitted, id_col, "left_anti")  # a model likes what it has seen too well
+    low = found.where("n_words >= 50").join(others, id_col, "left_semi").agg(F.percentile_approx("llr", low_share, 10_000).alias("t")).first()["t"]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = F.lit(True) if low is None else F.col("llr") >= F.lit(low - margin)
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict)
