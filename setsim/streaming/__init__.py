@@ -1,0 +1 @@
+"""Joins here are over bounded collections; there is no streaming operator to offer."""
