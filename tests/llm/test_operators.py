@@ -518,7 +518,9 @@ def test_license_scan(spark):
 
 def test_license_cosines(spark):
     texts = [t for ts in licenses.TEMPLATES.values() for t in ts] + ["licensed under the public license", "copyright copyright me", "license"]
-    got = {r.passage: (r.cosine, r.license) for r in licenses.closest(spark.createDataFrame([(t,) for t in texts], "passage string")).collect()}
+    frame_ = spark.createDataFrame([(t,) for t in texts], "passage string")
+    named = frame_.withColumn("passage_id", F.xxhash64("passage"))
+    got = {r.passage: (r.cosine, r.license) for r in licenses.closest(frame_).join(named, "passage_id").collect()}
     for t in texts:
         cosine, name = plain_closest(t)
         assert (got[t][0] if t in got else 0.0) == pytest.approx(cosine, abs=2e-6)
