@@ -35,8 +35,8 @@ from .words import U64, blocks, combine, words
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 CHUNK_BYTES = 6 << 20
 #: Input bytes of text for each count shard.
-SHARD_BYTES = 24 << 20
-CONTEXT_RANGES = 8
+SHARD_BYTES = 20 << 20
+CONTEXT_RANGES = 16
 DISCOUNT = 0.6
 LEAST_COUNT = 2
 FOLDS, HELD_OUT = 5, 1
@@ -194,24 +194,28 @@ def answer_bigrams(table: pa.Table, word_shards: int) -> pa.Table:
     return pa.Table.from_batches([batch(rows)])
 
 
-def ask_words(docs: DataFrame, id_col: str, text: str, follow_ranges: int, word_shards: int) -> DataFrame:
-    """Requests of distinct tokens with training counts, and each chunk's texts to be scored later."""
-    texts = "ids array<string>, n binary, token binary, cuts binary"
-    kept = docs.schema[id_col].dataType.simpleString()
-    schema = f"{ROW}, {texts}".replace("array<string>", f"array<{kept}>")
+def ask_words(docs: DataFrame, id_col: str, text: str, word_shards: int) -> DataFrame:
+    """Requests: a has the distinct tokens' hashes, b their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, c in chunks(batches, id_col, text):
             counts, to = c.word_counts(), bucket(c.hashes, word_shards)
-            rows = [(ASK, s, number, c.hashes[to == s].tobytes(), packed(counts[to == s].astype(np.int64)), None) for s in np.unique(to).tolist()]
+            yield batch([(ASK, s, number, c.hashes[to == s].tobytes(), packed(counts[to == s].astype(np.int64)), None) for s in np.unique(to).tolist()])
+
+    return docs.select(id_col, text).mapInArrow(run, ROW)
+
+
+def chunk_texts(docs: DataFrame, id_col: str, text: str, follow_ranges: int) -> DataFrame:
+    """Each chunk's texts as token numbers; read anew instead of kept, since only the last step needs them."""
+    schema = f"{ROW}, ids array<{docs.schema[id_col].dataType.simpleString()}>, n binary, token binary, cuts binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, c in chunks(batches, id_col, text):
             by_context, by_word = shards_of(c.hashes, follow_ranges)
             cuts = np.concatenate(([len(c.hashes), int(np.searchsorted(c.hashes, BEGIN))], np.searchsorted(by_context // follow_ranges, np.arange(CONTEXT_RANGES)), np.searchsorted(by_word, np.arange(follow_ranges))))
-            rows.append((TEXTS, -1, number, None, None, None))
-            asked = batch(rows)
-            none = [None] * (len(rows) - 1)
-            ids = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [len(c.ids)], pa.int32()), c.ids)
-            more = [ids, *(pa.array([*none, x], pa.binary()) for x in (packed(c.n), packed(c.token), packed(cuts)))]
-            yield pa.RecordBatch.from_arrays([*asked.columns, *more], names=[*NAMES, "ids", "n", "token", "cuts"])
+            ids = pa.ListArray.from_arrays(pa.array([0, len(c.ids)], pa.int32()), c.ids)
+            more = [ids, *(pa.array([packed(x)], pa.binary()) for x in (c.n, c.token, cuts))]
+            yield pa.RecordBatch.from_arrays([*batch([(TEXTS, -1, number, None, None, None)]).columns, *more], names=[*NAMES, "ids", "n", "token", "cuts"])
 
     return docs.select(id_col, text).mapInArrow(run, schema)
 
@@ -287,16 +291,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", text_byte
     follow_ranges = max(1, -(-text_bytes // (SHARD_BYTES * CONTEXT_RANGES)))
     word_shards = max(1, text_bytes // (4 * SHARD_BYTES))
     pairs = written(ask_bigrams(docs, "__id", "__text", follow_ranges).groupBy("shard").applyInArrow(lambda t: answer_bigrams(t, word_shards), ROW), "bigram-answers")
-    asked = written(ask_words(docs, "__id", "__text", follow_ranges, word_shards), "word-requests")
-    to_words = asked.where(F.col("kind") == ASK).select(*NAMES).union(pairs.where(F.col("kind") == MASS))
+    to_words = ask_words(docs, "__id", "__text", word_shards).union(pairs.where(F.col("kind") == MASS))
     found = written(to_words.groupBy("shard").applyInArrow(answer_words, ROW), "word-answers")
     totals = np.zeros(2, dtype=np.int64)
     for r in found.where(F.col("kind") == TOTAL).select("a").toLocalIterator():  # 16 bytes a word shard
         totals += np.frombuffer(r["a"], dtype=np.int64)
     total, distinct = (int(x) for x in totals)
-    empty = asked.where(F.col("kind") == TEXTS).withColumn("source", F.lit("texts"))
+    texts = chunk_texts(docs, "__id", "__text", follow_ranges).withColumn("source", F.lit("texts"))
     answered = [x.where(F.col("kind") == ANSWER).withColumn("source", F.lit(s)) for s, x in (("bigrams", pairs), ("words", found))]
-    every = empty.unionByName(answered[0], allowMissingColumns=True).unionByName(answered[1], allowMissingColumns=True)
+    every = texts.unionByName(answered[0], allowMissingColumns=True).unionByName(answered[1], allowMissingColumns=True)
     out = docs.select(F.col("__id").alias("id"))
     id_type = pa.schema(out.limit(0).toArrow().schema).field("id").type
     schema = out.select("id", *(F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known")), *(F.lit(0.0).alias(c) for c in ("base_score", "score")), F.lit(True).alias("held_out")).schema
