@@ -191,7 +191,9 @@ def match(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, slop: int = 0, most: int = MAX_PHRASES) -> DataFrame:
-    """For each row: id_col, __row_key, n_words, n_hit, items, near_items.
+    """For each row: id_col, __row_key, n_words, n_hit, spans, items, near_items.
+
+    spans are ranges of word numbers, ends exclusive, that occurrences cover.
 
     A null or wordless text has no words and no hits; null or wordless items have no
     windows, and a null item id counts as the empty string. Repeated documents each get a
@@ -217,4 +219,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         lambda acc: acc["n"],
     )
     ordered = lambda c: F.array_sort(F.array_distinct(c)).alias(c)
-    return found.select(id_col, KEY, "n_words", walk.alias("n_hit"), ordered("items"), ordered("near_items"))
+    return found.select(id_col, KEY, "n_words", walk.alias("n_hit"), F.array_sort("spans").alias("spans"), ordered("items"), ordered("near_items"))

@@ -38,6 +38,22 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop(KEY)
 
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d)),
+m AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM m),
+n AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+s AS (SELECT doc_id, span, min(p) AS a, max(p) + 400 AS z FROM n GROUP BY doc_id, span),
+c AS (SELECT doc_id, a AS z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a FROM s
+  UNION ALL SELECT doc_id, len(h) // 2, coalesce((SELECT max(s.z) FROM s WHERE s.doc_id = d.doc_id), 0) FROM d),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS kept FROM c JOIN d USING (doc_id) GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+
 def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -99,9 +115,39 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files, keep=("doc_id",))
 
 
+def op10_sql() -> str:
+    idf, rows, other = licenses.vectors()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    idfs = ", ".join(f"({quoted(t)}, {v!r}::DOUBLE)" for t, v in sorted(idf.items()))
+    weights = ", ".join(f"({quoted(a)}, {b}, {quoted(c)}, {d!r}::DOUBLE)" for a, b, c, d in rows)
+    return rf"""
+WITH idf(term, idf) AS (VALUES {idfs}), tv(license, notice, term, weight) AS (VALUES {weights}),
+d AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' AS dir, doc_id || '.txt' AS name, text FROM documents),
+l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '?
+')) AS q FROM d UNION ALL
+  SELECT doc_id, q FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '
+[ 	]*
+')) AS q FROM d) WHERE contains(q, chr(10))),
+p AS (SELECT DISTINCT doc_id, trim(q) AS q FROM l WHERE regexp_matches(q, '{licenses.CUE}')),
+u AS (SELECT q, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT q FROM p)),
+f AS (SELECT q, term, count(*) AS tf FROM u GROUP BY q, term),
+w AS (SELECT q, term, tf, (1 + ln(tf)) * coalesce(idf, {other!r}::DOUBLE) AS w FROM f LEFT JOIN idf USING (term)),
+n AS (SELECT q, sqrt(sum(w * w)) AS norm, CAST(sum(tf) AS BIGINT) AS n_terms FROM w GROUP BY q),
+t AS (SELECT q, license, notice, sum(w * weight) AS dot FROM w JOIN tv USING (term) GROUP BY ALL),
+b AS (SELECT q, max({{'dot': round(dot, 9), 'license': license}}) AS best FROM t GROUP BY q),
+c AS (SELECT q, best.license AS license, round(best.dot / norm, 6) AS cosine, n_terms FROM b JOIN n USING (q) WHERE round(best.dot / norm, 6) >= {licenses.LEAST_COSINE}),
+o AS (SELECT doc_id, max({{'cosine': cosine, 'license': license, 'n_terms': n_terms}}) AS own FROM p JOIN c USING (q) GROUP BY doc_id),
+v AS (SELECT dir, max({{'cosine': own.cosine, 'license': own.license}}) AS best FROM o JOIN d USING (doc_id)
+  WHERE own.n_terms >= {licenses.FILE_SHARE} * len(regexp_split_to_array(trim(text), '\s+')) GROUP BY dir)
+SELECT d.doc_id, d.dir || name AS path, own.license AS own_license, own.cosine AS cosine, coalesce(own.license, best.license) AS license,
+  CASE WHEN own IS NULL AND best IS NOT NULL THEN d.dir END AS inherited_from
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN v ON v.dir = d.dir
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_extract, op3_suffix_dedup, op4_phrase_index, op5_quality_rules, op6_simhash, op7_language_model, op8_personal_data, op9_perplexity, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_phrase_index": OP4_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "op4_phrase_index": OP4_SQL, "op10_licenses": op10_sql()}
