@@ -7,15 +7,19 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TECHNIQUES = ("bitmap", "cpu", "fgssjoin", "hybrid")
+TECHNIQUES = ("bitmap", "cpu", "hybrid", "prefix")
 FEATURES = ("set_size_std", "avg_set_size", "token_freq", "dataset_size", "dataset_size_square", "universe_size", "index_size", "bitmap")
 
 
-def coefficients_of(text: str, threshold: float) -> dict[str, dict[str, float]]:
-    """Coefficients by technique from a JSON object of techniques, thresholds at two significant digits, and features."""
+def coefficients_of(text: str, threshold: float, names: dict[str, str] | None = None) -> dict[str, dict[str, float]]:
+    """Coefficients by technique from a JSON object of techniques, thresholds at two significant digits, and features.
+
+    names translates what a file calls its techniques, where that differs.
+    """
     key = f"{threshold:.2g}"
     out = {}
-    for name, by_threshold in json.loads(text).items():
+    for called, by_threshold in json.loads(text).items():
+        name = (names or {}).get(called, called)
         if name not in TECHNIQUES:
             raise ValueError(f"no technique is named {name!r}")
         if key not in by_threshold:
@@ -24,9 +28,9 @@ def coefficients_of(text: str, threshold: float) -> dict[str, dict[str, float]]:
     return out
 
 
-def read_coefficients(spark: SparkSession, path: str, threshold: float) -> dict[str, dict[str, float]]:
+def read_coefficients(spark: SparkSession, path: str, threshold: float, names: dict[str, str] | None = None) -> dict[str, dict[str, float]]:
     (row,) = spark.read.text(path, wholetext=True).collect()  # one small file
-    return coefficients_of(row["value"], threshold)
+    return coefficients_of(row["value"], threshold, names)
 
 
 def cost(coefficients: dict[str, float], bits: int = 0) -> Column:

@@ -87,7 +87,7 @@ def block_pair_queue(collection: DataFrame, threshold: float, block_size: int =
 
 
 #: Which strategy stands for a technique of the cost model.
-BY_TECHNIQUE = {"cpu": "ppjoin", "hybrid": "hybrid_ppjoin", "bitmap": "bitmap", "fgssjoin": "prefix_blocked"}
+BY_TECHNIQUE = {"cpu": "ppjoin", "hybrid": "hybrid_ppjoin", "bitmap": "bitmap", "prefix": "prefix_blocked"}
 
 
 def cost_based(collection: DataFrame, threshold: float, coefficients: dict[str, dict[str, float]], parts: int = 2, bits: int = 0) -> DataFrame:

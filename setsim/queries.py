@@ -118,7 +118,7 @@ BLOCK, PARTS = 1000, 4
 COEFFICIENTS = """{
  "cpu": {"0.5": {"Intercept": 3.0, "set_size_std": 0.4, "avg_set_size": 0.9, "token_freq": 0.2, "dataset_size": 0.002, "dataset_size_square": 0.0000001, "universe_size": 0.0001, "index_size": 0.0003}},
  "hybrid": {"0.5": {"Intercept": 20.0, "set_size_std": 0.3, "avg_set_size": 0.5, "token_freq": 0.1, "dataset_size": 0.001, "dataset_size_square": 0.00000005, "universe_size": 0.0001, "index_size": 0.0001}},
- "fgssjoin": {"0.5": {"Intercept": 15.0, "set_size_std": 0.2, "avg_set_size": 0.6, "token_freq": 0.3, "dataset_size": 0.0015, "dataset_size_square": 0.00000007, "universe_size": 0.0002, "index_size": 0.0002}},
+ "prefix": {"0.5": {"Intercept": 15.0, "set_size_std": 0.2, "avg_set_size": 0.6, "token_freq": 0.3, "dataset_size": 0.0015, "dataset_size_square": 0.00000007, "universe_size": 0.0002, "index_size": 0.0002}},
  "bitmap": {"0.5": {"Intercept": 18.0, "set_size_std": 0.2, "avg_set_size": 0.3, "token_freq": 0.1, "dataset_size": 0.001, "dataset_size_square": 0.0000002, "universe_size": 0.0001, "bitmap": 0.01}}
 }"""
 

@@ -14,6 +14,8 @@ from ..operators.ranking import ranked
 from ..plans.stages import stage
 
 WORD = "[^a-z0-9]+"
+#: Tokens of a universe whose ranks are broadcast; larger ones are joined by a shuffle.
+MAX_BROADCAST_TOKENS = 500_000
 
 
 def text_words(text: Column) -> Column:
@@ -25,13 +27,23 @@ def from_rows(rows: DataFrame, id_col: str = "id", token_col: str = "token") ->
     """A collection of (id, token) rows; repeated rows count once.
 
     Tokens of any orderable type become their rank by (number of sets, token), so a token's
-    number says how rare it is. Counts are combined before the shuffle and joined back, so
-    that a token of very many sets is split like any skewed join key.
+    number says how rare it is. Counts are combined before the shuffle and joined back: by
+    broadcast up to a checked number of tokens, beyond it by a join whose skewed keys are split.
     """
     pairs = rows.where(F.col(id_col).isNotNull() & F.col(token_col).isNotNull())
-    pairs = stage(pairs.select(F.col(id_col).cast("long").alias("set_id"), F.col(token_col).alias("token")).distinct(), "set-tokens")
-    ranks = ranked(pairs.groupBy("token").agg(F.count("*").alias("df")), ["df", "token"], "rank").select("token", F.col("rank").alias("tok"))
-    sets = pairs.join(ranks, "token").groupBy("set_id").agg(F.sort_array(F.collect_list("tok")).alias("tokens"))
+    raw = pairs.groupBy(F.col(id_col).cast("long").alias("set_id")).agg(F.collect_set(token_col).alias("raw"))
+    return _encoded(stage(raw, "raw-sets"))
+
+
+def _encoded(raw: DataFrame) -> DataFrame:
+    """Sets of distinct tokens as they are (set_id, raw) to a collection."""
+    tokens = raw.select("set_id", F.explode("raw").alias("token"))
+    at_most = raw.agg(F.sum(F.size("raw"))).first()[0] or 0
+    ranks = ranked(tokens.groupBy("token").agg(F.count("*").alias("df")), ["df", "token"], "rank", at_most=at_most).select("token", F.col("rank").alias("tok"))
+    ranks = stage(ranks, "ranks")
+    if ranks.count() <= MAX_BROADCAST_TOKENS:
+        ranks = F.broadcast(ranks)
+    sets = tokens.join(ranks, "token").groupBy("set_id").agg(F.sort_array(F.collect_list("tok")).alias("tokens"))
     return stage(sets.select("set_id", "tokens", F.size("tokens").alias("n")), "collection")
 
 
@@ -42,7 +54,7 @@ def from_arrays(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -
 
 def from_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A collection of the words of texts."""
-    return from_rows(df.select(F.col(id_col).alias("id"), F.explode(text_words(F.col(text_col))).alias("token")))
+    return from_rows(df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(text_words(F.col(text_col)))).alias("token")))
 
 
 def parse_line(line: Column, mode: str = "strict") -> Column:

@@ -211,6 +211,7 @@ def test_cost_model(spark, coll, sets, tmp_path):
     assert cost.indexed_partitions(cost.choose(features, table)).count() == 2
     (tmp_path / "c.json").write_text(COEFFICIENTS)
     assert cost.read_coefficients(spark, f"file://{tmp_path}/c.json", 0.8) == table
+    assert set(cost.coefficients_of('{"host": {"0.8": {}}}', 0.8, {"host": "cpu"})) == {"cpu"}
     for bad in ('{"gpu": {"0.8": {}}}', '{"cpu": {"0.9": {}}}'):
         with pytest.raises(ValueError):
             cost.coefficients_of(bad, 0.8)
