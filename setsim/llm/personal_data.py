@@ -200,10 +200,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return rows.select(id_col, KEY).join(per_row, KEY, "left").select(id_col, KEY, F.coalesce("base", nothing).alias("base"), F.coalesce("added", nothing).alias("added"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """Replaces every span by its kind in angle brackets; columns stay as they are, a null text stays null.
 
-    Spans that overlap become one, named by the first. Only rows with spans are rewritten.
+    Spans that overlap become one, named by the first. Only rows with spans are rewritten,
+    and of them also the column `length`, if one is named, to the new number of code points.
     """
     keyed = docs.withColumn(KEY, row_key(id_col, text))
     found = find_spans(docs, id_col, text).select(KEY, F.array_sort(F.concat("base", "added")).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates([KEY])
@@ -217,4 +218,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(outside, F.concat(acc["out"], F.array(piece, F.concat(F.lit("<"), s["kind"], F.lit(">"))))).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), t).otherwise(clean)).select(*docs.columns)
+    out = joined.withColumn(text, F.when(F.col("__spans").isNull(), t).otherwise(clean))
+    if length is not None:
+        out = out.withColumn(length, F.when(F.col("__spans").isNull(), F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType)))
+    return out.select(*docs.columns)
