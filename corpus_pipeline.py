@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from setsim.llm import mixing, perplexity, personal_data, phrase_index, simhash
 from setsim.llm.shared import KEY, row_key, shared_dir, small_batches, table, without_keys
@@ -42,8 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; no document goes. n_chars follows the text."""
-    clean = personal_data.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    return personal_data.redact(docs, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
