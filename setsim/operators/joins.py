@@ -19,6 +19,8 @@ from .verify import candidate_lists, overlap, verify, verify_lists
 
 #: Mean set size up to which prefix entries carry their whole set.
 CARRY_SIZE = 48
+#: Bytes of prefix entries up to which Spark may broadcast them; beyond, they are merged by key.
+MAX_BROADCAST_ENTRIES = 32 << 20
 
 
 def naive(collection: DataFrame, measure: Jaccard) -> DataFrame:
@@ -32,14 +34,27 @@ def naive(collection: DataFrame, measure: Jaccard) -> DataFrame:
     return counted.where(F.col("shared") >= measure.minoverlap(n1, n2)).select("id1", "id2")
 
 
-def prefix_join(collection: DataFrame, measure: Jaccard, positional: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+def entries_size(collection: DataFrame) -> tuple[float, int, int]:
+    """Mean set size, and bounds on the bytes of all prefix entries without and with their sets.
+
+    Spark's own estimate is the size of the collection's files, which entries exceed by far.
+    """
+    n = F.col("n").cast("long")
+    mean, bare, carrying = collection.agg(F.avg(n), F.sum(n * 40), F.sum(n * (n * 8 + 64))).first()
+    return mean or 0.0, bare or 0, carrying or 0
+
+
+def prefix_join(collection: DataFrame, measure: Jaccard, positional: bool, keep: tuple[str, ...] = (), size: int | None = None) -> DataFrame:
     """Pairs of prefix entries with a common token that pass the length, order and, if asked for, position filters.
 
     Columns id1, n1, pos1, id2, n2, pos2, token and the columns in keep, numbered alike. The
     length filter is part of the join key: indexed sets are keyed by token and range of
     sizes, probes look in the ranges their bounds allow, two at most for thresholds of 1/2
     and more. A frequent token's list is so cut into parts that could not match anyway.
+    size bounds the entries' bytes; too many for a broadcast are merged, which spills and splits skew.
     """
+    if size is None:
+        size = entries_size(collection)[1]
     # lists are ordered by (n, id); ranges replace the scan that skips short sets and stops at long ones
     index = prefix_entries(collection, measure, "index", keep)
     index = index.select("token", measure.size_range(F.col("n")).alias("sizes"), *(F.col(c).alias(f"{a}2") for c, a in [("set_id", "id"), ("n", "n"), ("pos", "pos"), *((k, k) for k in keep)]))
@@ -50,7 +65,7 @@ def prefix_join(collection: DataFrame, measure: Jaccard, positional: bool, keep:
     condition = probe_first(n1, F.col("id1"), n2, F.col("id2")) & length_filter(measure, n1, n2)
     if positional:
         condition &= measure.position_filter(n1, n2, F.col("pos1"), F.col("pos2"))
-    return probe.join(index, ["token", "sizes"]).where(condition)
+    return probe.join(index.hint("merge") if size > MAX_BROADCAST_ENTRIES else index, ["token", "sizes"]).where(condition)
 
 
 def prefix_candidates(collection: DataFrame, measure: Jaccard, positional: bool = False) -> DataFrame:
@@ -66,19 +81,19 @@ def prefix_filtered(collection: DataFrame, measure: Jaccard, positional: bool, c
     twice. Large sets would be copied once per prefix token; their candidates are made
     distinct and the sets joined to them.
     """
+    mean, bare, carrying = entries_size(collection)
     if carry is None:
-        mean = collection.agg(F.avg("n")).first()[0] or 0
         carry = mean <= CARRY_SIZE
     if bits:
         collection = stage(collection.withColumn("signature", signature(F.col("tokens"), bits)), "signed")
     keep = ("signature",) if bits else ()
     n1, n2 = F.col("n1"), F.col("n2")
     if not carry:
-        found = prefix_join(collection, measure, positional, keep)
+        found = prefix_join(collection, measure, positional, keep, bare)
         if bits:
             found = found.where(bitmap_filter(measure, n1, n2, F.col("signature1"), F.col("signature2"), bits))
         return verify(found.select("id1", "id2").distinct(), collection, measure)
-    found = prefix_join(collection, measure, positional, ("tokens", *keep))
+    found = prefix_join(collection, measure, positional, ("tokens", *keep), carrying)
     if bits:
         found = found.where(bitmap_filter(measure, n1, n2, F.col("signature1"), F.col("signature2"), bits))
     t1, t2 = F.col("tokens1"), F.col("tokens2")
