@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bitmaps import hamming, overlap_bound
@@ -39,10 +39,13 @@ def surviving_block_pairs(summary: DataFrame, measure: Jaccard) -> DataFrame:
     """Pairs of blocks (probe_block, index_block) that may hold similar sets: the index block reaches the least size.
 
     Blocks ascend by size, so a probe block meets a run of blocks that ends at itself. The
-    run's start is found for each probe block and then listed; pairs that fail are never made.
+    run's start is the least block among those that reach the probe's bound: a running
+    minimum over blocks and bounds from large to small. It has two rows per block, and a
+    block stands for thousands of sets; pairs that fail are never made.
     """
-    probe = summary.select(F.col("block_id").alias("probe_block"), measure.minsize(F.col("min_n")).alias("least"))
-    reach = summary.select(F.col("block_id").alias("b"), "max_n")
-    # Largest sizes ascend with the block number: the first block that reaches `least`.
-    first = probe.join(reach, (F.col("b") <= F.col("probe_block")) & (F.col("max_n") >= F.col("least"))).groupBy("probe_block").agg(F.min("b").alias("first"))
+    nothing = F.lit(None).cast("long")
+    bounds = summary.select(measure.minsize(F.col("min_n")).alias("v"), F.lit(1).alias("kind"), F.col("block_id").alias("probe_block"), nothing.alias("b"))
+    reach = summary.select(F.col("max_n").alias("v"), F.lit(0).alias("kind"), nothing.alias("probe_block"), F.col("block_id").alias("b"))
+    so_far = Window.orderBy(F.desc("v"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = bounds.union(reach).withColumn("first", F.min("b").over(so_far)).where("kind = 1")
     return first.select("probe_block", F.explode(F.sequence("first", "probe_block")).alias("index_block"))
