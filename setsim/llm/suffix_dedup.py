@@ -265,7 +265,7 @@ def only_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def repeated_strings(rows: DataFrame, text: str, length: int) -> DataFrame:
     """Starts of repeated strings by row key: __row_key, starts (an array of closed ranges a..b)."""
     table = written(segment_table(rows, text, length), "segments")
-    shared = table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    shared = written(table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")  # apart, so that a hot anchor's rows can be split in the join
     table = written(table.join(shared, "anchor", "left_semi"), "candidates")
     different = table.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct(KEY, "first", "last")).alias("one"))
     different = written(different.select("anchor", "digest", (F.col("n") > 1).alias("whole"), "one.*"), "different")
