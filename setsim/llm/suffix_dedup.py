@@ -296,6 +296,7 @@ def repeated_strings(rows: DataFrame, text: str, length: int) -> DataFrame:
     found = found.union(lists.groupBy("part").applyInArrow(lambda t: as_table(look_across(t), FOUND), "anchor long, digest long, runs array<struct<a:int,b:int>>"))
     found = found.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # within one segment
     verdicts = different.select("anchor", "digest", "whole").join(found, ["anchor", "digest"], "left").where("whole or runs is not null")
+    verdicts = written(verdicts, "verdicts")  # apart, as above
     hits = table.join(verdicts, ["anchor", "digest"])
     whole = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
     some = F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"]).alias("b")))
