@@ -1,7 +1,7 @@
 """Language-model scores from a weighted backoff automaton over the whole training part.
 
 The automaton has a root and a state for every context word. A state's arcs are the
-bigrams seen at least twice, each with its interpolated probability; its failure arc leads
+bigrams seen often enough, each with its interpolated probability; its failure arc leads
 to the root and weighs what the arcs leave over; the root's arcs are the smoothed
 unigrams. Reading a word moves to that word's state, so one pass from left to right
 carries the state and adds up log-probabilities; texts of a chunk advance together.
@@ -38,6 +38,7 @@ CHUNK_BYTES = 6 << 20
 SHARD_BYTES = 20 << 20
 CONTEXT_RANGES = 16
 DISCOUNT = 0.6
+#: Training count from which a bigram is an arc, unless the caller asks for another; 1 leaves none out.
 LEAST_COUNT = 2
 FOLDS, HELD_OUT = 5, 1
 ASK, MASS, TOTAL, ANSWER, TEXTS = range(5)
@@ -166,7 +167,7 @@ def ask_bigrams(docs: DataFrame, id_col: str, text: str, follow_ranges: int) ->
     return docs.select(id_col, text).mapInArrow(run, ROW)
 
 
-def answer_bigrams(table: pa.Table, word_shards: int) -> pa.Table:
+def answer_bigrams(table: pa.Table, word_shards: int, least_count: int) -> pa.Table:
     """Adds up a shard's counts; answers each chunk, and passes contexts' masses on to the word shards."""
     contexts_, short, counts, sizes = [], [], [], []
     for a, b, c in zip(table.column("a"), table.column("b"), table.column("c")):
@@ -185,7 +186,7 @@ def answer_bigrams(table: pa.Table, word_shards: int) -> pa.Table:
     for number, size in zip(table.column("chunk").to_pylist(), sizes):
         rows.append((ANSWER, shard, number, packed(each[at : at + size]), None, None))
         at += size
-    kept = total >= LEAST_COUNT
+    kept = total >= least_count
     context, k = np.unique(u[first[kept]], return_inverse=True)
     mass = np.bincount(k, weights=total[kept] - DISCOUNT, minlength=len(context))
     to = bucket(context, word_shards)
@@ -243,7 +244,7 @@ def answer_words(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(out)])
 
 
-def score_chunk(table: pa.Table, total: int, distinct: int, follow_ranges: int, id_type: pa.DataType) -> pa.Table:
+def score_chunk(table: pa.Table, total: int, distinct: int, follow_ranges: int, id_type: pa.DataType, least_count: int) -> pa.Table:
     """Walks a chunk's texts through the automaton with the shards' answers."""
     rows = table.to_pylist()
     (head,) = (r for r in rows if r["kind"] == TEXTS)
@@ -261,7 +262,7 @@ def score_chunk(table: pa.Table, total: int, distinct: int, follow_ranges: int,
         raise RuntimeError("a chunk's answers do not fit its requests: the input changed between two reads")
     root = (count + 0.5) / (total + 0.5 * (distinct + 1))
     state = contexts(token, n, begin)
-    arc = np.where(pair >= LEAST_COUNT, pair - DISCOUNT, 0.0)[place] / np.maximum(count[state], 1)
+    arc = np.where(pair >= least_count, pair - DISCOUNT, 0.0)[place] / np.maximum(count[state], 1)
     weight = np.log10(arc + failure[state] * root[token])
     doc = np.repeat(np.arange(len(n)), n)
     per_doc = lambda x: np.bincount(doc, weights=x, minlength=len(n))
@@ -277,20 +278,23 @@ def score_chunk(table: pa.Table, total: int, distinct: int, follow_ranges: int,
     )
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", text_bytes: int | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", text_bytes: int | None = None, least_count: int = LEAST_COUNT) -> DataFrame:
     """For each row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text has one token, its end. A null id is in the training part.
     Repeated rows are trained on and scored each; an empty table gives no rows; other
     columns are ignored. The input must give the same rows in the same order to each read,
-    as files do; answers that do not fit are an error, never a wrong score.
+    as files do; answers that do not fit are an error, never a wrong score. Bigrams of fewer
+    than least_count training occurrences are scored by the failure arc alone.
     """
+    if least_count < 1:
+        raise ValueError("least_count must be 1 or more")
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
     if text_bytes is None:
         text_bytes = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     follow_ranges = max(1, -(-text_bytes // (SHARD_BYTES * CONTEXT_RANGES)))
     word_shards = max(1, text_bytes // (4 * SHARD_BYTES))
-    pairs = written(ask_bigrams(docs, "__id", "__text", follow_ranges).groupBy("shard").applyInArrow(lambda t: answer_bigrams(t, word_shards), ROW), "bigram-answers")
+    pairs = written(ask_bigrams(docs, "__id", "__text", follow_ranges).groupBy("shard").applyInArrow(lambda t: answer_bigrams(t, word_shards, least_count), ROW), "bigram-answers")
     to_words = ask_words(docs, "__id", "__text", word_shards).union(pairs.where(F.col("kind") == MASS))
     found = written(to_words.groupBy("shard").applyInArrow(answer_words, ROW), "word-answers")
     totals = np.zeros(2, dtype=np.int64)
@@ -303,5 +307,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", text_byte
     out = docs.select(F.col("__id").alias("id"))
     id_type = pa.schema(out.limit(0).toArrow().schema).field("id").type
     schema = out.select("id", *(F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known")), *(F.lit(0.0).alias(c) for c in ("base_score", "score")), F.lit(True).alias("held_out")).schema
-    scored = every.groupBy("chunk").applyInArrow(lambda t: score_chunk(t, total, distinct, follow_ranges, id_type), schema)
+    scored = every.groupBy("chunk").applyInArrow(lambda t: score_chunk(t, total, distinct, follow_ranges, id_type, least_count), schema)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

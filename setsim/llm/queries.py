@@ -91,7 +91,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return language_model.score(table(spark, sf_dir, "documents"))
+    return language_model.score(table(spark, sf_dir, "documents"), least_count=1)
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

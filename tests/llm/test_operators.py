@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from setsim.llm import components, extract, language_model, licenses, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash, suffix_dedup
 from setsim.llm import words as w
+from setsim.llm.queries import op7_language_model
 
 from .common import SCHEMA, corpus, frame, labels
 
@@ -307,6 +308,24 @@ def test_language_model_probabilities_sum_to_one():
         assert abs(total - 1) < 1e-9
 
 
+def test_language_model_query_keeps_bigrams_seen_once(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in op7_language_model(spark, str(tmp_path)).collect()}
+    uni, bi, ctx = Counter(), Counter(), Counter()
+    spelled = [(r[0], [*tokens(r[1]), "</s>"]) for r in rows]
+    for i, x in spelled:
+        if not language_model.held_out([i])[0]:
+            uni.update(x), bi.update(zip(["<s>", *x], x)), ctx.update(["<s>", *x[:-1]])
+    n, v, kinds = sum(uni.values()), len(uni), Counter(u for u, _ in bi)
+    d = language_model.DISCOUNT
+    assert min(bi.values()) == 1
+    for i, x in spelled:
+        if sum(k == i for k, _ in spelled) == 1:  # repeated ids have other texts
+            pairs = list(zip(["<s>", *x], x))
+            arcs = ((max(bi[u, y] - d, 0) / ctx[u] if ctx[u] else 0, d * kinds[u] / ctx[u] if ctx[u] else 1, (uni[y] + 0.5) / (n + 0.5 * (v + 1))) for u, y in pairs)
+            assert math.isclose(got[i], sum(math.log10(a + f * root) for a, f, root in arcs), rel_tol=1e-4, abs_tol=2e-3)
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score(empty(spark)).count() == 0
 
