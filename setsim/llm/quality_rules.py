@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KEY, row_key, sampled, trusted_ids, written
+from .shared import KEY, exact_quantile, row_key, sampled, trusted_ids, written
 from .words import NOT_SPACE, Block, Words, blocks, byte_class, combine, per_text, prefix_sums, range_hashes, word_ranges, words
 
 BUCKETS = 1 << 16
@@ -144,7 +144,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     ratios = log_ratios(rows, rows.join(fitted, id_col, "left_semi"), "__text")
     found = written(measured(rows, ratios, "__text"), "measured")
     others = trusted.join(fitted, id_col, "left_anti")  # a model likes what it has seen too well
-    low = found.where("n_words >= 50").join(others, id_col, "left_semi").agg(F.percentile_approx("llr", low_share, 10_000).alias("t")).first()["t"]
+    low = exact_quantile(written(found.where("n_words >= 50").join(others, id_col, "left_semi").select("llr"), "judged"), "llr", low_share)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = F.lit(True) if low is None else F.col("llr") >= F.lit(low - margin)
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -65,6 +66,34 @@ def sampled(df: DataFrame, id_col: str, limit: int) -> DataFrame:
     return near.orderBy("__h", id_col).limit(limit).drop("__h")
 
 
+#: A quantile narrows its column by counts of this many ranges until so few rows are left, which the driver sorts.
+QUANTILE_RANGES, QUANTILE_ROWS = 1024, 10_000
+
+
+def exact_quantile(df: DataFrame, column: str, share: float) -> float | None:
+    """The least value of a double column that at least `share` of its values reach no higher than; None without values.
+
+    Ranges of equal width between the least and the greatest value left are counted, and the
+    one that holds the wanted rank is kept, so the value is exact, whatever the order of rows.
+    """
+    x = F.col(column)
+    df = df.where(x.isNotNull()).select(x)
+    extent = lambda d: d.agg(F.count("*"), F.min(x), F.max(x)).first()
+    n, low, high = extent(df)
+    rank = max(math.ceil(share * n), 1)
+    while n > QUANTILE_ROWS and low < high:
+        part = F.least(F.floor((x - low) / (high - low) * QUANTILE_RANGES), F.lit(QUANTILE_RANGES - 1))
+        for k, in_part in sorted(tuple(r) for r in df.groupBy(part).count().collect()):  # at most QUANTILE_RANGES rows
+            if rank <= in_part:
+                break
+            rank -= in_part
+        df = df.where(part == k)
+        n, low, high = extent(df)
+    if n == 0 or low == high:
+        return low
+    return sorted(r[0] for r in df.collect())[rank - 1]
+
+
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Ids that some label calls good and none calls bad or toxic; null labels don't vouch for a row."""
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))

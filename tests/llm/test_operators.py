@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from setsim.llm import components, extract, language_model, licenses, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash, suffix_dedup
+from setsim.llm import shared
 from setsim.llm import words as w
 from setsim.llm.queries import op7_language_model
 
@@ -206,6 +207,28 @@ def noisy(spark):
     return docs, marks
 
 
+def test_quality_threshold_is_the_exact_rank(spark):
+    n, share = 60_000, 0.3137
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in row) for row in (rng.random((n, 52)) ** 3 * 3000).astype(int)]
+    docs = spark.createDataFrame(pa.table({"doc_id": np.arange(n), "text": texts})).repartition(16)
+    good = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = quality_rules.apply_rules(docs, good, max_trusted=100, low_share=share, margin=0.0).select("doc_id", "llr", "kept", "base_failed").toArrow().to_pandas()
+    fitted = {r.doc_id for r in shared.sampled(shared.trusted_ids(good), "doc_id", 100).collect()}
+    judged = np.sort(got.llr[~got.doc_id.isin(fitted)])
+    assert len(judged) == n - 100
+    assert (got.kept == (~got.base_failed & (got.llr >= judged[math.ceil(share * len(judged)) - 1]))).all()
+
+
+@pytest.mark.parametrize(("values", "rows"), [([], 5), ([None], 5), ([2.0] * 40, 5), ([float(k % 7) for k in range(500)] + [None], 5), ([1e9, -1e9, *(k / 1e6 for k in range(3000))], 50)])
+def test_exact_quantile(spark, monkeypatch, values, rows):
+    monkeypatch.setattr(shared, "QUANTILE_ROWS", rows)
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    ordered = sorted(v for v in values if v is not None)
+    for share in (0.0, 0.01, 0.5, 0.99, 1.0):
+        assert shared.exact_quantile(df, "x", share) == (ordered[max(math.ceil(share * len(ordered)), 1) - 1] if ordered else None)
+
+
 @pytest.mark.parametrize("judge", [quality_rules.apply_rules, perplexity.classify])
 def test_held_out_verdicts(spark, judge):
     docs, marks = noisy(spark)
