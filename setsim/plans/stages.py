@@ -14,10 +14,16 @@ _own_dir: list[str] = []
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The shared folder of spark.checkpoint.dir; a temporary one where it is unset and Spark runs in one process.
+
+    On a cluster each executor would see its own disk, so there an unset folder is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="setsim-"))
     return _own_dir[0]
@@ -31,7 +37,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Timer:
