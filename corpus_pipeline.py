@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from setsim.llm import mixing, perplexity, personal_data, phrase_index, simhash
-from setsim.llm.shared import KEY, row_key, shared_dir, small_batches, table, without_keys
+from setsim.llm.shared import KEY, ROW, discard, keyed, table, without_keys, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,22 +20,19 @@ EPOCHS = 1.25
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents whose perplexity the classifier rejects."""
-    small_batches(spark)
     judged = perplexity.classify(docs, table(spark, sf_dir, "labels"))
-    return without_keys(docs.withColumn(KEY, row_key("doc_id", "lang", "text")), judged.where("not kept"), KEY).select(*docs.columns)
+    return without_keys(keyed(docs, "doc_id", "lang", "text"), judged.where("not kept"), KEY).select(f"{ROW}.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents that hold a window of a benchmark item."""
-    small_batches(spark)
     found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without_keys(docs.withColumn(KEY, row_key("doc_id", "text")), found.where("n_hit > 0"), KEY).select(*docs.columns)
+    return without_keys(keyed(docs, "doc_id", "text"), found.where("n_hit > 0"), KEY).select(f"{ROW}.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +53,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each over the written result of the one before."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = written(docs, f"pipeline-{k}-{name}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

@@ -1,47 +1,41 @@
 """Language-model scores from a weighted backoff automaton over the whole training part.
 
-The automaton has a root and a state for every context word. A state's arcs are the
-bigrams seen often enough, each with its interpolated probability; its failure arc leads
-to the root and weighs what the arcs leave over; the root's arcs are the smoothed
-unigrams. Reading a word moves to that word's state, so one pass from left to right
-carries the state and adds up log-probabilities; texts of a chunk advance together.
-
-The counts grow with the corpus and are never gathered in one place. Chunks of documents
-ask for what they need, and shards of the count tables answer:
-
-1. bigram shards add up the counts of all chunks, answer each chunk in the order it asked,
-   and pass on the discounted mass of each context;
-2. word shards add up counts and masses and answer with count and failure weight;
-3. each chunk scores its documents with the answers.
-
-A shard is a range of context hashes, cut again by the following word, so a frequent
-context is spread over as many shards as its share needs.
+States are the contexts seen in training: the root, every word, and every pair of words,
+begin of text included. A state's arcs are all n-grams seen after it, each with its
+smoothed probability; its failure arc leads to the state of the context without its first
+word and weighs what the arcs leave over; the root has an arc for every word, known or not.
+Reading a word follows failure arcs until some state has an arc for it. One pass from left
+to right carries the state and adds up log-probabilities.
+
+Probabilities are interpolated with a Dirichlet prior: p(w | h) = (c(hw) + m p(w | h')) /
+(c(h) + m), with h' the shorter context and m the prior's weight for the order; the root has
+p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). The failure arc of h so weighs m / (c(h) + m), and
+a model needs n-gram counts alone, of every training text.
+
+Counts grow with the corpus and are never gathered in one place: chunks of documents ask
+count shards for their n-grams (see shards.py), and build the part of the automaton that
+their texts can reach. Texts are read in pieces, all of a chunk's at once; the state after
+two words depends on these alone, so a piece starts by reading the two words before it.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shards import ANSWER, BEGIN, REPLY, TOTAL, Chunk, Level, ask, asked, gathered, n_shards, packed, replies, texts, unpacked, xor
 from .shared import written
-from .words import U64, blocks, combine, words
 
-BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
-CHUNK_BYTES = 6 << 20
-#: Input bytes of text for each count shard.
-SHARD_BYTES = 20 << 20
-CONTEXT_RANGES = 16
-DISCOUNT = 0.6
-#: Training count from which a bigram is an arc, unless the caller asks for another; 1 leaves none out.
-LEAST_COUNT = 2
+ORDER = 3
+#: Weights of the prior by order: of what follows one word, and of what follows two.
+PRIOR = {2: 300.0, 3: 20.0}
 FOLDS, HELD_OUT = 5, 1
-ASK, MASS, TOTAL, ANSWER, TEXTS = range(5)
+#: Tokens of a piece of text.
+PIECE = 256
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -49,263 +43,128 @@ def held_out(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD_OUT for i in ids], dtype=bool)
 
 
-def bucket(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Range of the hash space, from 0 to n - 1; ascends with the hash."""
-    return ((hashes >> U64(40)) * U64(n) >> U64(24)).astype(np.int64)
-
-
-def packed(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
-
-
-def unpacked(b: bytes, dtype: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), dtype=dtype)
-
-
-class Chunk:
-    """Some whole documents as numbers of their distinct tokens, which ascend by hash."""
-
-    def __init__(self, ids: pa.Array, hashes: list[np.ndarray], counts: np.ndarray, held: np.ndarray) -> None:
-        self.ids, self.held = ids, held
-        n = counts + 1
-        ends = np.cumsum(n) - 1
-        token = np.empty(int(n.sum()), dtype=np.uint64)
-        is_end = np.zeros(len(token), dtype=bool)
-        is_end[ends] = True
-        token[is_end], token[~is_end] = END, np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        self.hashes = np.unique(np.append(token, [BEGIN, END]))
-        self.token = np.searchsorted(self.hashes, token).astype(np.int32)
-        self.n = n
-
-    @property
-    def trained(self) -> np.ndarray:
-        return np.repeat(~self.held, self.n)
-
-    def word_counts(self) -> np.ndarray:
-        """Training counts of the distinct tokens; begin counts the texts."""
-        out = np.bincount(self.token[self.trained], minlength=len(self.hashes))
-        out[np.searchsorted(self.hashes, BEGIN)] = np.count_nonzero(~self.held)
-        return out
-
-
-def contexts(token: np.ndarray, n: np.ndarray, begin: int) -> np.ndarray:
-    out = np.empty_like(token)
-    out[1:] = token[:-1]
-    out[np.cumsum(n) - n] = begin
+def training_counts(c: Chunk, found: list[Level]) -> list[np.ndarray]:
+    """Occurrences in the chunk's training texts, for each order; the begin token counts texts."""
+    trained = ~held_out(c.rows.field(0).to_pylist())
+    inside = np.repeat(trained, c.n)
+    out = [np.bincount(x.place[inside & (x.place >= 0)], minlength=len(x.key)) for x in found]
+    out[0][c.begin] = np.count_nonzero(trained)
     return out
 
 
-def bigrams(token: np.ndarray, n: np.ndarray, begin: int, m: int, shard_of: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams by shard, then context, then word: contexts, words, shards; and each token's bigram."""
-    key = contexts(token, n, begin).astype(np.int64) * m + token
-    distinct, inverse = np.unique(key, return_inverse=True)
-    u, w = distinct // m, distinct % m
-    shard = shard_of[0][u] + shard_of[1][w]
-    order = np.argsort(shard, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return u[order], w[order], shard[order], place[inverse]
-
-
-def shards_of(hashes: np.ndarray, follow_ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    return bucket(hashes, CONTEXT_RANGES) * follow_ranges, bucket(hashes, follow_ranges)
-
-
-def chunks(batches: Iterator[pa.RecordBatch], id_col: str, text: str) -> Iterator[tuple[int, Chunk]]:
-    """Cuts a task's documents into numbered chunks, the same ones whenever the task runs."""
-    number = TaskContext.get().partitionId() << 32
-    ids: list[pa.Array] = []
-    hashes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    size = 0
-
-    def done() -> Chunk:
-        every = pa.concat_arrays(ids)
-        return Chunk(every, hashes, np.concatenate(counts), held_out(every.to_pylist()))
-
-    for b in batches:
-        for block in blocks(b.column(text)):
-            w = words(block)
-            ids.append(b.column(id_col).slice(block.first, block.n))
-            hashes.append(w.hashes)
-            counts.append(w.counts)
-            size += len(block.data)
-            if size >= CHUNK_BYTES:
-                yield number, done()
-                number, size = number + 1, 0
-                ids, hashes, counts = [], [], []
-    if ids:
-        yield number, done()
-
-
-ROW = "kind int, shard int, chunk long, a binary, b binary, c binary"
-NAMES = ["kind", "shard", "chunk", "a", "b", "c"]
-ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-
-
-def batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ARROW)], schema=ARROW)
-
-
-def ask_bigrams(docs: DataFrame, id_col: str, text: str, follow_ranges: int) -> DataFrame:
-    """Requests: a has the contexts' hashes and numbers of words, b 40 bits of each word's hash, c training counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c in chunks(batches, id_col, text):
-            begin = int(np.searchsorted(c.hashes, BEGIN))
-            u, w, shard, place = bigrams(c.token, c.n, begin, len(c.hashes), shards_of(c.hashes, follow_ranges))
-            counts = np.bincount(place[c.trained], minlength=len(u)).astype(np.int32)
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-            rows = []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                head = np.flatnonzero(np.diff(u[lo:hi], prepend=-1))
-                heads = np.stack((c.hashes[u[lo + head]], np.diff(np.append(head, hi - lo)).astype(np.uint64)))
-                short = (c.hashes[w[lo:hi]] >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                rows.append((ASK, int(shard[lo]), number, packed(heads), short.tobytes(), packed(counts[lo:hi])))
-            yield batch(rows)
-
-    return docs.select(id_col, text).mapInArrow(run, ROW)
-
-
-def answer_bigrams(table: pa.Table, word_shards: int, least_count: int) -> pa.Table:
-    """Adds up a shard's counts; answers each chunk, and passes contexts' masses on to the word shards."""
-    contexts_, short, counts, sizes = [], [], [], []
-    for a, b, c in zip(table.column("a"), table.column("b"), table.column("c")):
-        heads = unpacked(a.as_py(), np.uint64).reshape(2, -1)
-        contexts_.append(np.repeat(heads[0], heads[1].astype(np.int64)))
-        raw = np.zeros((len(contexts_[-1]), 8), dtype=np.uint8)
-        raw[:, :5] = np.frombuffer(b.as_py(), np.uint8).reshape(-1, 5)
-        short.append(raw.view("<u8").ravel())
-        counts.append(unpacked(c.as_py(), np.int32))
-        sizes.append(len(counts[-1]))
-    u = np.concatenate(contexts_)
-    _, first, inverse = np.unique(combine(u, np.concatenate(short)), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-    each, at, rows = total[inverse], 0, []
-    shard = table.column("shard")[0].as_py()
-    for number, size in zip(table.column("chunk").to_pylist(), sizes):
-        rows.append((ANSWER, shard, number, packed(each[at : at + size]), None, None))
+def add_up(table: pa.Table) -> pa.Table:
+    """A shard's counts over all chunks: an answer to each, and the shard's part of N and V."""
+    keys, sizes = asked(table)
+    own = [unpacked(x.as_py(), np.int32) for x in table.column("counts")]
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([*own, np.zeros(0, np.int32)]), minlength=len(distinct)).astype(np.int64)
+    each, rows, at, shard = total[inverse], [], 0, table.column("shard")[0].as_py()
+    is_word = np.zeros(len(distinct), dtype=bool)
+    for number, size, n_words in zip(table.column("chunk").to_pylist(), sizes, table.column("n_words").to_pylist()):
+        is_word[inverse[at : at + n_words]] = True  # words come first in a request
+        rows.append((ANSWER, shard, number, xor(keys[at : at + size]), 0, 0, packed(each[at : at + size])))
         at += size
-    kept = total >= least_count
-    context, k = np.unique(u[first[kept]], return_inverse=True)
-    mass = np.bincount(k, weights=total[kept] - DISCOUNT, minlength=len(context))
-    to = bucket(context, word_shards)
-    for s in np.unique(to).tolist():
-        rows.append((MASS, s, -1, context[to == s].tobytes(), mass[to == s].tobytes(), None))
-    return pa.Table.from_batches([batch(rows)])
-
-
-def ask_words(docs: DataFrame, id_col: str, text: str, word_shards: int) -> DataFrame:
-    """Requests: a has the distinct tokens' hashes, b their training counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c in chunks(batches, id_col, text):
-            counts, to = c.word_counts(), bucket(c.hashes, word_shards)
-            yield batch([(ASK, s, number, c.hashes[to == s].tobytes(), packed(counts[to == s].astype(np.int64)), None) for s in np.unique(to).tolist()])
-
-    return docs.select(id_col, text).mapInArrow(run, ROW)
+    known = total[is_word & (distinct != BEGIN)]
+    rows.append((TOTAL, shard, -1, 0, int(known.sum()), int(np.count_nonzero(known)), None))
+    return replies(rows)
 
 
-def chunk_texts(docs: DataFrame, id_col: str, text: str, follow_ranges: int) -> DataFrame:
-    """Each chunk's texts as token numbers; read anew instead of kept, since only the last step needs them."""
-    schema = f"{ROW}, ids array<{docs.schema[id_col].dataType.simpleString()}>, n binary, token binary, cuts binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c in chunks(batches, id_col, text):
-            by_context, by_word = shards_of(c.hashes, follow_ranges)
-            cuts = np.concatenate(([len(c.hashes), int(np.searchsorted(c.hashes, BEGIN))], np.searchsorted(by_context // follow_ranges, np.arange(CONTEXT_RANGES)), np.searchsorted(by_word, np.arange(follow_ranges))))
-            ids = pa.ListArray.from_arrays(pa.array([0, len(c.ids)], pa.int32()), c.ids)
-            more = [ids, *(pa.array([packed(x)], pa.binary()) for x in (c.n, c.token, cuts))]
-            yield pa.RecordBatch.from_arrays([*batch([(TEXTS, -1, number, None, None, None)]).columns, *more], names=[*NAMES, "ids", "n", "token", "cuts"])
-
-    return docs.select(id_col, text).mapInArrow(run, schema)
+class Automaton:
+    """States by number with their arcs, sorted by (state, word), and one failure arc each.
 
+    State 0 is the root, 1 + k the word k, 1 + words + k the pair of words k.
+    """
 
-def answer_words(table: pa.Table) -> pa.Table:
-    """Adds up a shard's counts and masses; answers with counts and failure weights, and sums N and V."""
-    rows = table.to_pylist()
-    asked = [(r["chunk"], np.frombuffer(r["a"], np.uint64), unpacked(r["b"], np.int64)) for r in rows if r["kind"] == ASK]
-    masses = [(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.float64)) for r in rows if r["kind"] == MASS]
-    if not asked:
-        return pa.Table.from_batches([batch([])])
-    word, inverse = np.unique(np.concatenate([h for _, h, _ in asked]), return_inverse=True)
-    count = np.bincount(inverse, weights=np.concatenate([c for _, _, c in asked])).astype(np.int64)
-    mass = np.zeros(len(word))
-    for h, m in masses:
-        mass[np.searchsorted(word, h)] += m
-    failure = (1 - mass / np.maximum(count, 1)).astype(np.float32)
-    out, at = [], 0
-    for number, h, _ in asked:
-        k = inverse[at : at + len(h)]
-        out.append((ANSWER, rows[0]["shard"], number, packed(count[k]), packed(failure[k]), None))
-        at += len(h)
-    real = word != BEGIN
-    out.append((TOTAL, rows[0]["shard"], -1, np.array([count[real].sum(), np.count_nonzero(count[real])], dtype=np.int64).tobytes(), None, None))
-    return pa.Table.from_batches([batch(out)])
+    def __init__(self, c: Chunk, found: list[Level], counts: list[np.ndarray], total: int, distinct: int, prior: dict[int, float]) -> None:
+        one, two, three = found
+        c1, c2, c3 = counts
+        m = self.m = len(c.hashes)
+        self.root = (c1 + 0.5) / (total + 0.5 * (distinct + 1))
+        p2 = (c2 + prior[2] * self.root[two.word]) / (c1[two.context] + prior[2])
+        p3 = (c3 + prior[3] * p2[three.tail]) / (c2[three.context] + prior[3])
+        of_word = np.where(c1 > 0, 1 + np.arange(m), 0)
+        of_pair = np.where(c2 > 0, 1 + m + np.arange(len(c2)), of_word[two.word])
+        seen2, seen3 = np.flatnonzero(c2), np.flatnonzero(c3)
+        keys = np.concatenate((np.arange(m), of_word[two.context[seen2]] * m + two.word[seen2], of_pair[three.context[seen3]] * m + three.word[seen3]))
+        by = np.argsort(keys, kind="stable")
+        self.arc = keys[by]
+        self.weight = np.log10(np.concatenate((self.root, p2[seen2], p3[seen3])))[by]
+        self.to = np.concatenate((of_word, of_pair[seen2], of_pair[three.tail[seen3]]))[by]
+        self.fail_to = np.concatenate(([0], np.zeros(m, dtype=np.int64), of_word[two.word]))
+        self.fail_weight = np.log10(np.concatenate(([1.0], prior[2] / (c1 + prior[2]), prior[3] / (c2 + prior[3]))))
+        self.begin = int(of_word[c.begin])
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Moves every state by its word, in place; gives the weights of the arcs taken."""
+        out = np.zeros(len(state))
+        at = np.arange(len(state))
+        while len(at):
+            key = state[at] * self.m + word[at]
+            k = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            hit = self.arc[k] == key
+            taken = k[hit]
+            out[at[hit]] += self.weight[taken]
+            state[at[hit]] = self.to[taken]
+            at = at[~hit]
+            out[at] += self.fail_weight[state[at]]
+            state[at] = self.fail_to[state[at]]
+        return out
 
 
-def score_chunk(table: pa.Table, total: int, distinct: int, follow_ranges: int, id_type: pa.DataType, least_count: int) -> pa.Table:
-    """Walks a chunk's texts through the automaton with the shards' answers."""
-    rows = table.to_pylist()
-    (head,) = (r for r in rows if r["kind"] == TEXTS)
-    answers = lambda source: sorted((r for r in rows if r["kind"] == ANSWER and r["source"] == source), key=lambda r: r["shard"])
-    token, n, cuts = unpacked(head["token"], np.int32), unpacked(head["n"], np.int64), unpacked(head["cuts"], np.int64)
-    m, begin = int(cuts[0]), int(cuts[1])
-    number = np.arange(m)
-    by_context = (np.searchsorted(cuts[2 : 2 + CONTEXT_RANGES], number, side="right") - 1) * follow_ranges
-    by_word = np.searchsorted(cuts[2 + CONTEXT_RANGES :], number, side="right") - 1
-    u, _, _, place = bigrams(token, n, begin, m, (by_context, by_word))
-    pair = np.concatenate([unpacked(r["a"], np.int64) for r in answers("bigrams")])
-    count = np.concatenate([unpacked(r["a"], np.int64) for r in answers("words")])
-    failure = np.concatenate([unpacked(r["b"], np.float32) for r in answers("words")]).astype(np.float64)
-    if len(pair) != len(u) or len(count) != m:
-        raise RuntimeError("a chunk's answers do not fit its requests: the input changed between two reads")
-    root = (count + 0.5) / (total + 0.5 * (distinct + 1))
-    state = contexts(token, n, begin)
-    arc = np.where(pair >= least_count, pair - DISCOUNT, 0.0)[place] / np.maximum(count[state], 1)
-    weight = np.log10(arc + failure[state] * root[token])
-    doc = np.repeat(np.arange(len(n)), n)
-    per_doc = lambda x: np.bincount(doc, weights=x, minlength=len(n))
+def walk(machine: Automaton, c: Chunk, piece: int = PIECE) -> np.ndarray:
+    """Log10 probability of each document: reads all texts left to right, a token of every piece at a time."""
+    warm = ORDER - 1
+    doc = np.repeat(np.arange(len(c.n)), -(-c.n // piece))
+    nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    first = c.starts[doc] + nth * piece
+    skip = np.where(nth > 0, warm, 0)  # read for the state, not counted: the piece before has them
+    first, last = first - skip, np.minimum(first + piece, (c.starts + c.n)[doc])
+    length = last - first
+    by = np.argsort(-length, kind="stable")
+    first, length, skip = first[by], length[by], skip[by]
+    state = np.where(nth[by] > 0, 0, machine.begin)
+    total = np.zeros(len(by))
+    live = len(by)
+    for step in range(int(length[0]) if len(by) else 0):
+        while length[live - 1] <= step:
+            live -= 1
+        weight = machine.read(state[:live], c.token[first[:live] + step].astype(np.int64))
+        total[:live] += np.where(step >= skip[:live], weight, 0.0)
+    return np.bincount(doc[by], weights=total, minlength=len(c.n))
+
+
+def score_chunk(table: pa.Table, shards: int, total: int, distinct: int, prior: dict[int, float], piece: int) -> pa.Table:
+    c, found, answers = gathered(table, ORDER, shards, np.int64, 1)
+    counts = [x[:, 0] for x in answers]
+    machine = Automaton(c, found, counts, total, distinct, prior)
+    doc = np.repeat(np.arange(len(c.n)), c.n)
+    per_doc = lambda x: np.bincount(doc, weights=x, minlength=len(c.n))
+    ids = c.rows.field(0)
     return pa.table(
         {
-            "id": pa.array(head["ids"], id_type),
-            "n_tokens": pa.array(n),
-            "n_known": pa.array(per_doc(count[token] > 0).astype(np.int64)),
-            "base_score": pa.array(per_doc(np.log10(root)[token])),
-            "score": pa.array(per_doc(weight)),
-            "held_out": pa.array(held_out(head["ids"])),
+            "id": ids,
+            "held_out": pa.array(held_out(ids.to_pylist())),
+            "n_tokens": pa.array(c.n),
+            "n_known": pa.array(per_doc(counts[0][c.token] > 0).astype(np.int64)),
+            "base_score": pa.array(per_doc(np.log10(machine.root)[c.token])),
+            "score": pa.array(walk(machine, c, piece)),
         }
     )
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", text_bytes: int | None = None, least_count: int = LEAST_COUNT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int | None = None, piece: int = PIECE, prior: dict[int, float] = PRIOR) -> DataFrame:
     """For each row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text has one token, its end. A null id is in the training part.
     Repeated rows are trained on and scored each; an empty table gives no rows; other
     columns are ignored. The input must give the same rows in the same order to each read,
-    as files do; answers that do not fit are an error, never a wrong score. Bigrams of fewer
-    than least_count training occurrences are scored by the failure arc alone.
+    as files do; answers that do not fit are an error, never a wrong score.
     """
-    if least_count < 1:
-        raise ValueError("least_count must be 1 or more")
-    docs = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
-    if text_bytes is None:
-        text_bytes = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    follow_ranges = max(1, -(-text_bytes // (SHARD_BYTES * CONTEXT_RANGES)))
-    word_shards = max(1, text_bytes // (4 * SHARD_BYTES))
-    pairs = written(ask_bigrams(docs, "__id", "__text", follow_ranges).groupBy("shard").applyInArrow(lambda t: answer_bigrams(t, word_shards, least_count), ROW), "bigram-answers")
-    to_words = ask_words(docs, "__id", "__text", word_shards).union(pairs.where(F.col("kind") == MASS))
-    found = written(to_words.groupBy("shard").applyInArrow(answer_words, ROW), "word-answers")
-    totals = np.zeros(2, dtype=np.int64)
-    for r in found.where(F.col("kind") == TOTAL).select("a").toLocalIterator():  # 16 bytes a word shard
-        totals += np.frombuffer(r["a"], dtype=np.int64)
-    total, distinct = (int(x) for x in totals)
-    texts = chunk_texts(docs, "__id", "__text", follow_ranges).withColumn("source", F.lit("texts"))
-    answered = [x.where(F.col("kind") == ANSWER).withColumn("source", F.lit(s)) for s, x in (("bigrams", pairs), ("words", found))]
-    every = texts.unionByName(answered[0], allowMissingColumns=True).unionByName(answered[1], allowMissingColumns=True)
-    out = docs.select(F.col("__id").alias("id"))
-    id_type = pa.schema(out.limit(0).toArrow().schema).field("id").type
-    schema = out.select("id", *(F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known")), *(F.lit(0.0).alias(c) for c in ("base_score", "score")), F.lit(True).alias("held_out")).schema
-    scored = every.groupBy("chunk").applyInArrow(lambda t: score_chunk(t, total, distinct, follow_ranges, id_type, least_count), schema)
+    docs = docs.select(F.struct(F.col(id_col).alias("id")).alias("row"), F.col(text).alias("text"))
+    n = shards or n_shards(docs)
+    replied = written(ask(docs, ORDER, n, training_counts).groupBy("shard").applyInArrow(add_up, REPLY), "answers")
+    total, distinct = (x or 0 for x in replied.where(F.col("kind") == TOTAL).agg(F.sum("n"), F.sum("distinct")).first())
+    every = texts(docs).unionByName(replied.where(F.col("kind") == ANSWER).select("kind", "shard", "chunk", "check", "answer"), allowMissingColumns=True)
+    kind = docs.schema["row"].dataType["id"].dataType.simpleString()
+    scored = every.groupBy("chunk").applyInArrow(lambda t: score_chunk(t, n, total, distinct, prior, piece), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import boosting
-from .shared import KEY, row_key, written
+from .shared import KEY, ROW, keyed, row_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, spelt so that they match exactly what the plain ones match.
@@ -205,12 +205,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
 
     Spans that overlap become one, named by the first. Only rows with spans are rewritten,
     and of them also the column `length`, if one is named, to the new number of code points.
+    Repeated rows are each rewritten; an empty table gives none.
     """
-    keyed = docs.withColumn(KEY, row_key(id_col, text))
+    rows = keyed(docs, id_col, text)
     found = find_spans(docs, id_col, text).select(KEY, F.array_sort(F.concat("base", "added")).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates([KEY])
-    joined = keyed.join(written(found, "spans"), KEY, "left")
+    joined = rows.join(written(found, "spans"), KEY, "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    t = F.col(text)
+    t = F.col(ROW)[text]
 
     def step(acc: Column, s: Column) -> Column:
         outside = s["start"] >= acc["at"]
@@ -218,7 +219,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(outside, F.concat(acc["out"], F.array(piece, F.concat(F.lit("<"), s["kind"], F.lit(">"))))).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    out = joined.withColumn(text, F.when(F.col("__spans").isNull(), t).otherwise(clean))
+    untouched = F.col("__spans").isNull()
+    joined = joined.withColumn("__clean", F.when(untouched, t).otherwise(clean))
+    changed = {text: F.col("__clean")}
     if length is not None:
-        out = out.withColumn(length, F.when(F.col("__spans").isNull(), F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType)))
-    return out.select(*docs.columns)
+        changed[length] = F.when(untouched, F.col(ROW)[length]).otherwise(F.length("__clean").cast(docs.schema[length].dataType))
+    return joined.select(*(changed.get(c, F.col(ROW)[c]).alias(c) for c in docs.columns))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import KEY, exact_quantile, row_key, sampled, trusted_ids, written
-from .words import NOT_SPACE, Block, Words, blocks, byte_class, combine, per_text, prefix_sums, range_hashes, word_ranges, words
+from .words import NOT_SPACE, Block, Words, blocks, byte_class, bytes_hashes, combine, per_text, word_ranges, words
 
 BUCKETS = 1 << 16
 #: Most labelled documents the trusted multinomial is fitted to.
@@ -93,7 +93,7 @@ def duplicate_lines(block: Block) -> np.ndarray:
     full = black[ends] > black[starts]
     starts, ends = starts[full], ends[full]
     doc = np.searchsorted(block.bounds, starts, side="right") - 1
-    key = combine(range_hashes(prefix_sums(block.data), starts, ends), doc.astype(np.uint64))
+    key = combine(bytes_hashes(block.data, starts, ends), doc.astype(np.uint64))
     _, first = np.unique(key, return_index=True)
     later = np.ones(len(key), dtype=bool)
     later[first] = False

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import extract, language_model, licenses, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash, suffix_dedup
-from .shared import KEY, small_batches, table
+from .shared import KEY, table
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -29,12 +28,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop(KEY)
 
 
@@ -55,7 +52,6 @@ FROM d JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)
 
 
 def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -84,14 +80,12 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return language_model.score(table(spark, sf_dir, "documents"), least_count=1)
+    return language_model.score(table(spark, sf_dir, "documents"))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +97,6 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "lang", "n_words", "perplexity", "threshold", "kept")
 
@@ -123,10 +116,12 @@ def op10_sql() -> str:
     return rf"""
 WITH idf(term, idf) AS (VALUES {idfs}), tv(license, notice, term, weight) AS (VALUES {weights}),
 d AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' AS dir, doc_id || '.txt' AS name, text FROM documents),
-l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '?
+l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '
+?
 ')) AS q FROM d UNION ALL
   SELECT doc_id, q FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '
-[ 	]*
+[ 	
+]*
 ')) AS q FROM d) WHERE contains(q, chr(10))),
 p AS (SELECT DISTINCT doc_id, trim(q) AS q FROM l WHERE regexp_matches(q, '{licenses.CUE}')),
 u AS (SELECT q, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT q FROM p)),

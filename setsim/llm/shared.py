@@ -3,49 +3,32 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Name of the row key that operators add; it gives way to nothing in the input.
-KEY = "__row_key"
-_own_dir: list[str] = []
+from ..plans.stages import discard, stage as written, stage_dir as shared_dir  # noqa: F401
 
+#: Names of the row key that operators add and of a row's own columns, kept in one struct so that no name clashes.
+KEY, ROW = "__row_key", "__row"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset, as in local tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="setsim-"))
-    return _own_dir[0]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_key(*columns: str) -> Column:
+    """A 128-bit key of a row's values, two hashes of different seeds; equal rows share it, and nulls count as values of their own."""
+    values = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit(1), *values).alias("a"), F.xxhash64(F.lit(2), *values).alias("b"))
 
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's values; equal rows share it, and nulls count as values of their own."""
-    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Rows as (__row, __row_key): all columns in a struct, and the key over those named."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(ROW), row_key(*columns).alias(KEY))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds of a table of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-#: Row keys are broadcast only up to this number, 8 bytes each; larger sets are joined by a shuffle.
+#: Row keys are broadcast only up to this number, 16 bytes each; larger sets are joined by a shuffle.
 MAX_BROADCAST_KEYS = 500_000
 
 

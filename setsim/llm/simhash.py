@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import row_key, written
+from .shared import KEY, ROW, keyed, written
 from .words import LOWER, blocks
 
 SEED = 42
@@ -131,17 +131,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Keeps one row of each component, that of its least id; columns stay as they are.
 
-    Of rows with that id, the one with the least row key stays, and of equal rows one.
+    Of rows with that id, the one with the least row key stays, and of equal rows one. Null,
+    empty and wordless texts are one component; an empty table gives no rows.
     """
-    keyed = docs.withColumn("__key", row_key(id_col, text))
-    found = near_duplicates(keyed, id_col, text, keep=("__key",))
-    best = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col("__key").alias("k"))).alias("best")
-    chosen = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(best).select(F.col("best.k").alias("__key"))
+    rows = keyed(docs, id_col, text)
+    found = near_duplicates(rows.select(F.col(ROW)[id_col].alias("id"), F.col(ROW)[text].alias("text"), KEY), "id", "text", keep=(KEY,))
+    best = F.min(F.struct(F.col("id").isNull().alias("n"), F.col(KEY).alias("k"))).alias("best")
+    chosen = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(best).select(F.col("best.k").alias(KEY))
     chosen = written(chosen.distinct(), "chosen")
-    repeated = found.join(chosen, "__key", "left_semi").groupBy("__key").count().where("count > 1").select("__key")
-    kept = keyed.join(chosen.hint("shuffle_hash"), "__key", "left_semi")
+    repeated = found.join(chosen, KEY, "left_semi").groupBy(KEY).count().where("count > 1").select(KEY)
+    kept = rows.join(chosen.hint("shuffle_hash"), KEY, "left_semi")
     if not repeated.limit(1).count():
-        return kept.drop("__key")
+        return kept.select(f"{ROW}.*")
     repeated = written(repeated, "repeated")
-    once = kept.join(repeated, "__key", "left_anti")
-    return once.union(kept.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])).drop("__key")
+    once = kept.join(repeated, KEY, "left_anti")
+    return once.union(kept.join(repeated, KEY, "left_semi").dropDuplicates([KEY])).select(f"{ROW}.*")

@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import KEY, MAX_BROADCAST_KEYS, row_key, written
-from .words import U64, blocks, combine, prefix_sums, range_hashes
+from .words import U64, blocks, prefix_sums, range_hashes
 
 LENGTH = 400
 GRAM = 32
@@ -70,7 +71,9 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tupl
     if not len(first):
         return none
     ends = np.flatnonzero(whole & np.append(change[1:] | ~whole[1:], True))
-    return doc[first], first, ends, hashes[anchor[first]], range_hashes(sums, first, ends + length)
+    raw = data.tobytes()
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(first.tolist(), (ends + length).tolist())), dtype=U64, count=len(first))
+    return doc[first], first, ends, hashes[anchor[first]], digest
 
 
 def segment_table(rows: DataFrame, text: str, length: int) -> DataFrame:
@@ -79,15 +82,15 @@ def segment_table(rows: DataFrame, text: str, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(KEY).to_numpy()
+            keys = b.column(KEY)
             for block in blocks(b.column(text)):
                 doc, first, last, anchor, digest = segments(block.data, block.bounds, length)
                 base = block.bounds[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[block.first + doc]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], names=names
+                    [keys.take(pa.array(block.first + doc)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], names=names
                 )
 
-    return rows.select(KEY, text).mapInArrow(run, f"{KEY} long, first int, last int, anchor long, digest long")
+    return rows.select(KEY, text).mapInArrow(run, f"{KEY} struct<a:long,b:long>, first int, last int, anchor long, digest long")
 
 
 def suffix_array(data: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
@@ -219,14 +222,16 @@ def look_within(pieces: pa.Table, length: int, n_parts: int) -> Iterator[dict]:
     sums = prefix_sums(joined)
     sizes = np.array([len(r["bytes"]) for r in rows])
     start = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))[piece[at]] + offset[at]
-    w1, w2 = range_hashes(sums, start, start + length), combine(range_hashes(sums, start, start + length // 2), range_hashes(sums, start + length // 2, start + length))
+    w1 = range_hashes(sums, start, start + length)
+    raw = joined.tobytes()
+    w2 = np.fromiter((xxhash.xxh3_64_intdigest(raw[s : s + length]) for s in start.tolist()), dtype=U64, count=len(start))
     whole = np.array([r["whole"] for r in rows], dtype=bool)[piece[at]] | marked[at]
     anchor, digest = (np.array([r[c] for r in rows], dtype=np.int64)[piece[at]] for c in ("anchor", "digest"))
     members = np.stack((anchor, digest, np.where(whole, -1, offset[at])), axis=1)
     part = (w1 % U64(n_parts)).astype(np.int64)
-    for p in np.unique(part).tolist():
-        mine = np.flatnonzero(part == p)
-        mine = mine[np.argsort(w1[mine], kind="stable")]
+    by_part = np.lexsort((w1, part))
+    for mine in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1):
+        p = int(part[mine[0]])
         yield {"shard": rows[0]["shard"], "part": p, "w1": w1[mine].tobytes(), "w2": w2[mine].tobytes(), "members": members[mine].tobytes()}
 
 

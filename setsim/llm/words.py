@@ -2,8 +2,11 @@
 
 A column's UTF-8 bytes are taken as one numpy array, so words, lines and
 n-grams of many texts are found and hashed without a Python loop over words.
-A word's hash is a polynomial over its bytes modulo 2**64, read off prefix sums
-and then mixed; equal words have equal hashes in every task and every run.
+A word's hash takes eight bytes a step through a mixing function, so words of at most
+eight bytes and one length never share one, and no structure of longer ones makes them
+meet; ranges over 64 bytes are hashed by XXH3. Equal words have equal hashes in every
+task and every run. Only rolling hashes, which pick anchors, are polynomials modulo 2**64:
+nothing is taken to be equal by them.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -75,8 +79,31 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes that the first k of an eight-byte step take up.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+#: Ranges of more bytes are hashed one by one.
+LONG_RANGE = 64
+
+
+def bytes_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges by their bytes alone."""
+    size = ends - starts
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    out = mix(size.astype(U64) + U64(0x632BE59BD9B4E019))
+    at = np.flatnonzero((size > 0) & (size <= LONG_RANGE))
+    pos, left = starts[at], size[at]
+    while len(at):
+        chunk = eights[pos] & MASKS[np.minimum(left, 8)]
+        out[at] = mix(out[at] * U64(0xD6E8FEB86659FD93) + chunk)
+        more = left > 8
+        at, pos, left = at[more], pos[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_RANGE).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
+
+
 def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges of the data that the sums are of."""
+    """Rolling hashes of byte ranges of the data that the sums are of."""
     _, inv = powers(len(sums))
     return mix((sums[ends] - sums[starts]) * inv[starts])
 
@@ -132,7 +159,7 @@ def words(block: Block, kind: np.ndarray = NOT_SPACE, lower: bool = True) -> Wor
     """Finds and hashes the words of a block; a word never crosses two texts."""
     data = LOWER[block.data] if lower else block.data
     starts, ends, first = word_ranges(data, block.bounds, kind)
-    hashes = range_hashes(prefix_sums(data), starts, ends)
+    hashes = bytes_hashes(data, starts, ends)
     return Words(starts, ends, hashes, np.repeat(np.arange(block.n), np.diff(first)), first)
 
 

@@ -14,9 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from setsim.llm import components, extract, language_model, licenses, mixing, perplexity, personal_data, phrase_index, quality_rules, simhash, suffix_dedup
-from setsim.llm import shared
+from setsim.llm import shared, shards
 from setsim.llm import words as w
-from setsim.llm.queries import op7_language_model
 
 from .common import SCHEMA, corpus, frame, labels
 
@@ -72,6 +71,40 @@ def test_words_of_blocks_match_regex(rows):
         assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_words_hash_apart():
+    one, two = thue_morse(1024)
+    (a,), (b,) = w.hash_words([one, two])
+    assert a != b
+    data = np.random.default_rng(2).integers(97, 99, 5000).astype(np.uint8)
+    starts = np.arange(4000)
+    for size in (3, 8, 9, 16, 17, 64, 65, 200):
+        got = w.bytes_hashes(data, starts, starts + size)
+        raw = data.tobytes()
+        seen = {}
+        assert all(seen.setdefault(raw[s : s + size], h) == h for s, h in zip(starts.tolist(), got.tolist()))
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_structured_texts_are_told_apart(spark):
+    one, two = thue_morse(1024)
+    docs = spark.createDataFrame([(1, f"{one}\n{two}"), (2, one), (3, two)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in phrase_index.decontaminate(docs, items).collect()} == {1: 1, 2: 1, 3: 0}
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.n_dup_lines for r in quality_rules.apply_rules(docs, none).collect()} == {0}
+    far = spark.createDataFrame([(2, one), (3, two)], "doc_id long, text string")
+    same([tuple(r) for r in suffix_dedup.remove_repeats(far, length=700).drop("__row_key").collect()], [(i, *x) for i, x in zip((2, 3), plain_removal([one, two], 700))])
+    known = {r.doc_id: r.n_known for r in language_model.score(far).collect()}
+    assert known == {i: n for i, _, _, n, *_ in plain_scores([(2, one), (3, two)])}
+
+
 # 6 SimHash
 
 
@@ -284,69 +317,61 @@ def test_perplexity_without_labels_or_rows(spark, docs):
 # 7 language model
 
 
-def plain_scores(rows, discount=language_model.DISCOUNT):
-    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
-    uni, bi, ctx = Counter(), Counter(), Counter()
+def plain_model(rows, prior=language_model.PRIOR):
+    """The probability function of a model of the training rows, and their token counts."""
+    grams, texts = Counter(), 0
     for i, t in rows:
-        if not held(i):
-            x = [*tokens(t), "</s>"]
-            uni.update(x)
-            bi.update(zip(["<s>", *x], x))
-            ctx.update(["<s>", *x[:-1]])
-    n, v, mass = sum(uni.values()), len(uni), Counter()
-    for (u, _), c in bi.items():
-        mass[u] += c - discount if c > 1 else 0
-    for i, t in rows:
-        x = [*tokens(t), "</s>"]
-        base = score = 0.0
-        for u, y in zip(["<s>", *x], x):
-            root = (uni[y] + 0.5) / (n + 0.5 * (v + 1))
-            base += math.log10(root)
-            score += math.log10((bi[u, y] - discount if bi[u, y] > 1 else 0) / max(ctx[u], 1) + (1 - mass[u] / max(ctx[u], 1)) * root)
-        yield i, held(i), len(x), sum(uni[y] > 0 for y in x), n, round(base, 3), round(score, 3)
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
+            x = ["<s>", *tokens(t), "</s>"]
+            grams.update(tuple(x[k : k + n]) for n in (1, 2, 3) for k in range(len(x) - n + 1))
+    uni = {g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] != "<s>"}
+    n, v = sum(uni.values()), len(uni)
+
+    def p(history, y):
+        if not history:
+            return (uni.get(y, 0) + 0.5) / (n + 0.5 * (v + 1))
+        m = prior[len(history) + 1]
+        return (grams[(*history, y)] + m * p(history[1:], y)) / (grams[history] + m)
 
+    return p, uni, n
 
-@pytest.mark.parametrize("text_bytes", [None, 40 * language_model.SHARD_BYTES * language_model.CONTEXT_RANGES])
-def test_language_model(docs, rows, monkeypatch, text_bytes):
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3), round(r.score, 3)) for r in language_model.score(docs, text_bytes=text_bytes).collect()]
+
+def plain_scores(rows):
+    p, uni, n = plain_model(rows)
+    for i, t in rows:
+        x = ["<s>", *tokens(t), "</s>"]
+        base = sum(math.log10(p((), y)) for y in x[1:])
+        score = sum(math.log10(p(tuple(x[max(0, k - 2) : k]), x[k])) for k in range(1, len(x)))
+        yield i, zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1, len(x) - 1, sum(y in uni for y in x[1:]), n, base, score
+
+
+@pytest.mark.parametrize(("n_shards", "piece", "chunk"), [(None, 256, 6 << 20), (7, 256, 3000), (1000, 3, 6 << 20)])
+def test_language_model(docs, rows, monkeypatch, n_shards, piece, chunk):
+    ask, texts = shards.ask, shards.texts
+    monkeypatch.setattr(language_model, "ask", lambda d, o, n, c: ask(d, o, n, c, chunk))
+    monkeypatch.setattr(language_model, "texts", lambda d: texts(d, chunk))
+    got = [tuple(r) for r in language_model.score(docs, shards=n_shards, piece=piece).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()]
     order = lambda r: tuple((x is None, x) for x in r)
     got, expected = sorted(got, key=order), sorted(plain_scores([(r[0], r[1]) for r in rows]), key=order)
     assert [g[:5] for g in got] == [e[:5] for e in expected]
-    assert np.allclose([g[5:] for g in got], [e[5:] for e in expected], rtol=1e-4, atol=2e-3)
+    assert np.allclose([g[5:] for g in got], [e[5:] for e in expected], rtol=1e-9, atol=1e-9)
 
 
 def test_language_model_probabilities_sum_to_one():
-    rows = [(k, "a b a b c a b") for k in range(9)]
-    kinds = ["a", "b", "c", "</s>", "new"]
-    assert len(kinds) == 5  # every known word and one place for all unknown ones
-    uni, bi, ctx = Counter(), Counter(), Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            x = [*t.split(), "</s>"]
-            uni.update(x), bi.update(zip(["<s>", *x], x)), ctx.update(["<s>", *x[:-1]])
-    n, v = sum(uni.values()), len(uni)
-    for u in ctx:
-        mass = sum(c - language_model.DISCOUNT for (a, _), c in bi.items() if a == u and c > 1)
-        total = sum((bi[u, y] - language_model.DISCOUNT if bi[u, y] > 1 else 0) / ctx[u] + (1 - mass / ctx[u]) * (uni[y] + 0.5) / (n + 0.5 * (v + 1)) for y in kinds)
-        assert abs(total - 1) < 1e-9
-
-
-def test_language_model_query_keeps_bigrams_seen_once(spark, docs, rows, tmp_path):
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.score for r in op7_language_model(spark, str(tmp_path)).collect()}
-    uni, bi, ctx = Counter(), Counter(), Counter()
-    spelled = [(r[0], [*tokens(r[1]), "</s>"]) for r in rows]
-    for i, x in spelled:
-        if not language_model.held_out([i])[0]:
-            uni.update(x), bi.update(zip(["<s>", *x], x)), ctx.update(["<s>", *x[:-1]])
-    n, v, kinds = sum(uni.values()), len(uni), Counter(u for u, _ in bi)
-    d = language_model.DISCOUNT
-    assert min(bi.values()) == 1
-    for i, x in spelled:
-        if sum(k == i for k, _ in spelled) == 1:  # repeated ids have other texts
-            pairs = list(zip(["<s>", *x], x))
-            arcs = ((max(bi[u, y] - d, 0) / ctx[u] if ctx[u] else 0, d * kinds[u] / ctx[u] if ctx[u] else 1, (uni[y] + 0.5) / (n + 0.5 * (v + 1))) for u, y in pairs)
-            assert math.isclose(got[i], sum(math.log10(a + f * root) for a, f, root in arcs), rel_tol=1e-4, abs_tol=2e-3)
+    rows = [(k, "a b a b c a b c c") for k in range(9)]
+    p, uni, _ = plain_model(rows)
+    inner = [y for y in uni if y != "</s>"]  # nothing follows an end
+    for history in [(), *((a,) for a in ("<s>", *inner, "new")), *((a, b) for a in ("<s>", *inner, "new") for b in inner)]:
+        assert abs(sum(p(history, y) for y in (*uni, "new")) - 1) < 1e-9  # one place for all unknown words
+
+
+def test_language_model_refuses_answers_to_other_texts(spark, rows):
+    first, second = frame(spark, rows[:20]).coalesce(1), frame(spark, rows[1:21]).coalesce(1)
+    as_input = lambda d: d.select(F.struct(F.col("doc_id").alias("id")).alias("row"), F.col("text"))
+    asked = shards.ask(as_input(first), 3, 2, language_model.training_counts).groupBy("shard").applyInArrow(language_model.add_up, shards.REPLY)
+    every = shards.texts(as_input(second)).unionByName(asked.where(F.col("kind") == shards.ANSWER), allowMissingColumns=True).toArrow()
+    with pytest.raises(RuntimeError, match="changed"):
+        language_model.score_chunk(every, 2, 10, 10, language_model.PRIOR, 256)
 
 
 def test_language_model_of_nothing(spark):
