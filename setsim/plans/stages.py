@@ -29,6 +29,24 @@ def stage_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+#: Spark's setting that frees a query's shuffle files when the query ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries within leave no shuffle files behind; the session's own setting is put back."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes a table that several branches of a plan read, and reads it back.
 
@@ -36,7 +54,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     tokenising and ranking again for each. Files also outlive the executors that wrote them.
     """
     path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.staged_at = path
     return table
