@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shards import ANSWER, BEGIN, REPLY, TOTAL, Chunk, Level, ask, asked, gathered, n_shards, packed, replies, texts, unpacked, xor
+from .shards import ANSWER, BEGIN_KEY, REPLY, TOTAL, Chunk, Level, ask, asked, gathered, n_shards, packed_counts, replies, texts, unpacked_counts, xor
 from .shared import written
 
 ORDER = 3
@@ -55,16 +55,14 @@ def training_counts(c: Chunk, found: list[Level]) -> list[np.ndarray]:
 def add_up(table: pa.Table) -> pa.Table:
     """A shard's counts over all chunks: an answer to each, and the shard's part of N and V."""
     keys, sizes = asked(table)
-    own = [unpacked(x.as_py(), np.int32) for x in table.column("counts")]
+    own = [unpacked_counts(x.as_py(), n) for x, n in zip(table.column("counts"), sizes)]
     distinct, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([*own, np.zeros(0, np.int32)]), minlength=len(distinct)).astype(np.int64)
+    total = np.bincount(inverse, weights=np.concatenate([*own, np.zeros(0, np.int64)]), minlength=len(distinct)).astype(np.int64)
     each, rows, at, shard = total[inverse], [], 0, table.column("shard")[0].as_py()
-    is_word = np.zeros(len(distinct), dtype=bool)
-    for number, size, n_words in zip(table.column("chunk").to_pylist(), sizes, table.column("n_words").to_pylist()):
-        is_word[inverse[at : at + n_words]] = True  # words come first in a request
-        rows.append((ANSWER, shard, number, xor(keys[at : at + size]), 0, 0, packed(each[at : at + size])))
+    for number, size in zip(table.column("chunk").to_pylist(), sizes):
+        rows.append((ANSWER, shard, number, xor(keys[at : at + size]), 0, 0, packed_counts(each[at : at + size])))
         at += size
-    known = total[is_word & (distinct != BEGIN)]
+    known = total[(distinct & np.uint64(1) == 1) & (distinct != BEGIN_KEY)]
     rows.append((TOTAL, shard, -1, 0, int(known.sum()), int(np.count_nonzero(known)), None))
     return replies(rows)
 
@@ -134,7 +132,7 @@ def walk(machine: Automaton, c: Chunk, piece: int = PIECE) -> np.ndarray:
 
 
 def score_chunk(table: pa.Table, shards: int, total: int, distinct: int, prior: dict[int, float], piece: int) -> pa.Table:
-    c, found, answers = gathered(table, ORDER, shards, np.int64, 1)
+    c, found, answers = gathered(table, ORDER, shards)
     counts = [x[:, 0] for x in answers]
     machine = Automaton(c, found, counts, total, distinct, prior)
     doc = np.repeat(np.arange(len(c.n)), c.n)

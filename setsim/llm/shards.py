@@ -1,10 +1,12 @@
 """Chunks of documents, their n-grams, and count shards that answer for them.
 
 A chunk is some whole documents of one task, about 6 MB. It names each different n-gram by
-a 64-bit hash and asks the shard that a second, independent hash picks, so only n-grams
-alike in both could be confused, and no word, however frequent, makes a shard large. A
-chunk has one row for each shard it asks, and a shard answers each in the order asked.
-Every n-gram of a chunk is asked for once, whatever its number of occurrences.
+56 bits of a hash and asks the shard that a second, independent hash picks. Only n-grams of
+one shard, a few million, could be confused, so the chance of that is some 1e-10 for an
+n-gram, whatever the size of the corpus; and no word, however frequent, makes a shard large.
+A chunk has one row for each shard it asks, with its keys sorted and coded as differences,
+and a shard answers each in the order asked. Every n-gram of a chunk is asked for once,
+whatever its number of occurrences.
 
 Chunks are cut anew from the input whenever they are needed, so the input must give the
 same rows in the same order to each read, as files do. Answers carry a checksum of what was
@@ -28,7 +30,7 @@ from .words import U64, blocks, combine, mix, words
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 CHUNK_BYTES = 6 << 20
 #: Input bytes of text for each shard.
-SHARD_BYTES = 20 << 20
+SHARD_BYTES = 8 << 20
 ANSWER, TOTAL, TEXTS = range(3)
 
 
@@ -40,6 +42,37 @@ def unpacked(b: bytes, dtype: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype=dtype)
 
 
+def packed_counts(x: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 and more follow in full."""
+    large = x >= 255
+    return packed(np.concatenate((np.where(large, 255, x).astype(np.uint8), x[large].astype("<i8").view(np.uint8))))
+
+
+def unpacked_counts(b: bytes, n: int) -> np.ndarray:
+    raw = unpacked(b, np.uint8)
+    out = raw[:n].astype(np.int64)
+    out[out == 255] = raw[n:].copy().view("<i8")
+    return out
+
+
+LOW = 5
+KEY_BITS = 56
+
+
+def packed_keys(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending keys as differences: their low bytes as they are, and the high ones, nearly all zero, compressed."""
+    raw = np.diff(x, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return raw[:, :LOW].tobytes(), packed(raw[:, LOW : KEY_BITS // 8])
+
+
+def unpacked_keys(low: bytes, high: bytes) -> np.ndarray:
+    n = len(low) // LOW
+    raw = np.zeros((n, 8), dtype=np.uint8)
+    raw[:, :LOW] = np.frombuffer(low, np.uint8).reshape(n, LOW)
+    raw[:, LOW : KEY_BITS // 8] = unpacked(high, np.uint8).reshape(n, -1)
+    return np.cumsum(raw.view("<u8").ravel(), dtype=U64)
+
+
 @dataclass
 class Chunk:
     """Whole documents: their rows (a struct array), tokens as numbers of distinct hashes, tokens of each document."""
@@ -65,8 +98,8 @@ def numbered(rows: list[pa.Array], hashes: list[np.ndarray], counts: list[np.nda
     is_end = np.zeros(len(token), dtype=bool)
     is_end[np.cumsum(n) - 1] = True
     token[is_end], token[~is_end] = END, np.concatenate(hashes)
-    distinct = np.unique(np.append(token, BEGIN))
-    return Chunk(pa.concat_arrays(rows), distinct, np.searchsorted(distinct, token).astype(np.int32), n)
+    distinct, inverse = np.unique(np.append(token, BEGIN), return_inverse=True)
+    return Chunk(pa.concat_arrays(rows), distinct, inverse[:-1].astype(np.int32), n)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], row: str, text: str, size: int) -> Iterator[tuple[int, Chunk]]:
@@ -120,12 +153,14 @@ def levels(c: Chunk, order: int) -> list[Level]:
     for _ in range(1, order):
         low = out[-1]
         at = np.flatnonzero(before >= 0)
-        distinct, first, inverse = np.unique(before[at] * m + c.token[at], return_index=True, return_inverse=True)
+        distinct, inverse = np.unique(before[at] * m + c.token[at], return_inverse=True)
         context, word = distinct // m, distinct % m
+        tail = np.empty(len(distinct), dtype=np.int64)
+        tail[inverse] = low.place[at]
         place = np.full(len(c.token), -1, dtype=np.int64)
         place[at] = inverse
         hashes = c.hashes[word]
-        out.append(Level(combine(low.key[context], hashes), combine(hashes, low.route[context]), context, word, low.place[at[first]], place))
+        out.append(Level(combine(low.key[context], hashes), combine(hashes, low.route[context]), context, word, tail, place))
         before = np.full(len(c.token), -1, dtype=np.int64)
         before[1:] = place[:-1]
         before[c.starts] = -1
@@ -133,19 +168,28 @@ def levels(c: Chunk, order: int) -> list[Level]:
 
 
 def dealt(found: list[Level], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All n-grams, order by order, sorted by shard: their places, keys, shards, and the cuts between shards."""
+    """All n-grams sorted by shard and key: their numbers, order by order, keys, shards, and the cuts between shards.
+
+    A key's lowest bit tells words from longer n-grams.
+    """
     shard = (np.concatenate([x.route for x in found]) >> U64(40)) * U64(shards) >> U64(24)
-    by = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
-    shard = shard[by].astype(np.int64)
-    return by, np.concatenate([x.key for x in found])[by], shard, np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+    key = np.concatenate([x.key for x in found]) >> U64(64 - KEY_BITS) & ~U64(1)
+    key[: len(found[0].key)] |= U64(1)
+    by = np.argsort(key)
+    shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)[by]
+    again = np.argsort(shard, kind="stable")
+    by, shard = by[again], shard[again].astype(np.int64)
+    return by, key[by], shard, np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
 
 
 def xor(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(keys).view(np.int64)) if len(keys) else 0
 
 
-ASK = "shard int, chunk long, n_words long, keys binary, counts binary"
-ASK_NAMES = ["shard", "chunk", "n_words", "keys", "counts"]
+#: The key of the begin token.
+BEGIN_KEY = BEGIN >> U64(64 - KEY_BITS) | U64(1)
+ASK = "shard int, chunk long, low binary, high binary, counts binary"
+ASK_NAMES = ["shard", "chunk", "low", "high", "counts"]
 REPLY = "kind int, shard int, chunk long, check long, n long, distinct long, answer binary"
 REPLY_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("distinct", pa.int64()), ("answer", pa.binary())])
 
@@ -161,12 +205,11 @@ def ask(docs: DataFrame, order: int, shards: int, count: Callable[[Chunk, list[L
         for number, c in chunks(batches, "row", "text", size):
             found = levels(c, order)
             by, keys, shard, cuts = dealt(found, shards)
-            counts = np.concatenate(count(c, found)).astype(np.int32)[by] if count else None
-            is_word = by < len(c.hashes)
+            counts = np.concatenate(count(c, found))[by] if count else None
             rows = []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                rows.append((int(shard[lo]), number, int(np.count_nonzero(is_word[lo:hi])), keys[lo:hi].tobytes(), None if counts is None else packed(counts[lo:hi])))
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                rows.append((int(shard[lo]), number, *packed_keys(keys[lo:hi]), None if counts is None else packed_counts(counts[lo:hi])))
+            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=ASK_NAMES)
 
     return docs.mapInArrow(run, ASK)
@@ -174,7 +217,7 @@ def ask(docs: DataFrame, order: int, shards: int, count: Callable[[Chunk, list[L
 
 def asked(table: pa.Table) -> tuple[np.ndarray, list[int]]:
     """A shard's keys of all chunks, and how many each has asked for."""
-    keys = [np.frombuffer(x.as_py(), U64) for x in table.column("keys")]
+    keys = [unpacked_keys(low.as_py(), high.as_py()) for low, high in zip(table.column("low"), table.column("high"))]
     return np.concatenate([*keys, np.zeros(0, U64)]), [len(k) for k in keys]
 
 
@@ -190,7 +233,7 @@ def texts(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     return docs.mapInArrow(run, f"kind int, chunk long, rows array<{row}>, hashes binary, token binary, n_tokens binary")
 
 
-def gathered(table: pa.Table, order: int, shards: int, dtype: type, width: int) -> tuple[Chunk, list[Level], list[np.ndarray]]:
+def gathered(table: pa.Table, order: int, shards: int, width: int = 1) -> tuple[Chunk, list[Level], list[np.ndarray]]:
     """A chunk from its row of texts and the shards' replies: the chunk, its n-grams, and for each order the answers."""
     rows = table.select(["kind", "shard", "check", "answer", "hashes", "token", "n_tokens"]).to_pylist()
     at, head = next((k, r) for k, r in enumerate(rows) if r["kind"] == TEXTS)
@@ -201,7 +244,7 @@ def gathered(table: pa.Table, order: int, shards: int, dtype: type, width: int)
     wanted = [(int(shard[lo]), xor(keys[lo:hi])) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
     if wanted != [(r["shard"], r["check"]) for r in given]:
         raise RuntimeError("a chunk's answers do not fit its requests: the input changed between two reads")
-    answers = np.concatenate([unpacked(r["answer"], dtype).reshape(-1, width) for r in given])
+    answers = np.concatenate([unpacked_counts(r["answer"], (hi - lo) * width).reshape(-1, width) for r, lo, hi in zip(given, cuts[:-1].tolist(), cuts[1:].tolist())])
     straight = np.empty_like(answers)
     straight[by] = answers
     return c, found, np.split(straight, np.cumsum([len(x.key) for x in found])[:-1])

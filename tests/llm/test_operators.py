@@ -365,6 +365,15 @@ def test_language_model_probabilities_sum_to_one():
         assert abs(sum(p(history, y) for y in (*uni, "new")) - 1) < 1e-9  # one place for all unknown words
 
 
+def test_packed_requests():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 1000):
+        keys = np.sort(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert (shards.unpacked_keys(*shards.packed_keys(keys)) == keys).all()
+        counts = rng.integers(0, 300, n)
+        assert (shards.unpacked_counts(shards.packed_counts(counts), n) == counts).all()
+
+
 def test_language_model_refuses_answers_to_other_texts(spark, rows):
     first, second = frame(spark, rows[:20]).coalesce(1), frame(spark, rows[1:21]).coalesce(1)
     as_input = lambda d: d.select(F.struct(F.col("doc_id").alias("id")).alias("row"), F.col("text"))
