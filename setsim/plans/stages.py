@@ -29,22 +29,24 @@ def stage_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-#: Spark's setting that frees a query's shuffle files when the query ends.
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings for the query that writes a stage: its shuffle files go when it ends, and Python workers get small batches of long texts.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries within leave no shuffle files behind; the session's own setting is put back."""
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Sets values for the queries that run within; the session's own are put back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(FREE_SHUFFLES)
-        else:
-            spark.conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -54,7 +56,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     tokenising and ranking again for each. Files also outlive the executors that wrote them.
     """
     path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with freed_shuffles(df.sparkSession):
+    with settings(df.sparkSession, WHILE_WRITING):
         df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.staged_at = path
