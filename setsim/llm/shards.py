@@ -1,6 +1,6 @@
 """Chunks of documents, their n-grams, and count shards that answer for them.
 
-A chunk is some whole documents of one task, about 6 MB. It names each different n-gram by
+A chunk is some whole documents of one task, about 3 MB. It names each different n-gram by
 56 bits of a hash and asks the shard that a second, independent hash picks. Only n-grams of
 one shard, a few million, could be confused, so the chance of that is some 1e-10 for an
 n-gram, whatever the size of the corpus; and no word, however frequent, makes a shard large.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .words import U64, blocks, combine, mix, words
 
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: Input bytes of text for each shard.
 SHARD_BYTES = 8 << 20
 ANSWER, TOTAL, TEXTS = range(3)
@@ -69,7 +69,7 @@ def unpacked_keys(low: bytes, high: bytes) -> np.ndarray:
     n = len(low) // LOW
     raw = np.zeros((n, 8), dtype=np.uint8)
     raw[:, :LOW] = np.frombuffer(low, np.uint8).reshape(n, LOW)
-    raw[:, LOW : KEY_BITS // 8] = unpacked(high, np.uint8).reshape(n, -1)
+    raw[:, LOW : KEY_BITS // 8] = unpacked(high, np.uint8).reshape(n, KEY_BITS // 8 - LOW)
     return np.cumsum(raw.view("<u8").ravel(), dtype=U64)
 
 

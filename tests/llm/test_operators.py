@@ -345,7 +345,7 @@ def plain_scores(rows):
         yield i, zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1, len(x) - 1, sum(y in uni for y in x[1:]), n, base, score
 
 
-@pytest.mark.parametrize(("n_shards", "piece", "chunk"), [(None, 256, 6 << 20), (7, 256, 3000), (1000, 3, 6 << 20)])
+@pytest.mark.parametrize(("n_shards", "piece", "chunk"), [(None, 256, 3 << 20), (7, 256, 3000), (1000, 3, 3 << 20)])
 def test_language_model(docs, rows, monkeypatch, n_shards, piece, chunk):
     ask, texts = shards.ask, shards.texts
     monkeypatch.setattr(language_model, "ask", lambda d, o, n, c: ask(d, o, n, c, chunk))
