@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shards import ANSWER, BEGIN_KEY, REPLY, TOTAL, Chunk, Level, ask, asked, gathered, n_shards, packed_counts, replies, texts, unpacked_counts, xor
-from .shared import written
+from .shared import discard, written
 
 ORDER = 3
 #: Weights of the prior by order: of what follows one word, and of what follows two.
@@ -164,5 +164,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: i
     total, distinct = (x or 0 for x in replied.where(F.col("kind") == TOTAL).agg(F.sum("n"), F.sum("distinct")).first())
     every = texts(docs).unionByName(replied.where(F.col("kind") == ANSWER).select("kind", "shard", "chunk", "check", "answer"), allowMissingColumns=True)
     kind = docs.schema["row"].dataType["id"].dataType.simpleString()
-    scored = every.groupBy("chunk").applyInArrow(lambda t: score_chunk(t, n, total, distinct, prior, piece), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = written(every.groupBy("chunk").applyInArrow(lambda t: score_chunk(t, n, total, distinct, prior, piece), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
+    discard(replied)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

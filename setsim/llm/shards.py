@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,19 +104,28 @@ def numbered(rows: list[pa.Array], hashes: list[np.ndarray], counts: list[np.nda
 
 
 def chunks(batches: Iterator[pa.RecordBatch], row: str, text: str, size: int) -> Iterator[tuple[int, Chunk]]:
-    """Cuts a task's documents into numbered chunks, the same ones whenever the task runs."""
+    """Cuts a task's documents into numbered chunks, the same ones whenever the task runs and however it is fed.
+
+    A chunk ends with the document that brings it to `size` bytes.
+    """
     number = TaskContext.get().partitionId() << 32
     rows: list[pa.Array] = []
     hashes: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     held = 0
     for b in batches:
-        for block in blocks(b.column(text)):
-            w = words(block)
-            rows.append(b.column(row).slice(block.first, block.n))
-            hashes.append(w.hashes)
-            counts.append(w.counts)
-            held += len(block.data)
+        lengths = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < len(lengths):
+            reach = held + np.cumsum(lengths[at:])
+            full = int(np.searchsorted(reach, size))
+            to = min(at + full + 1, len(lengths))
+            for block in blocks(b.column(text).slice(at, to - at)):
+                w = words(block)
+                rows.append(b.column(row).slice(at + block.first, block.n))
+                hashes.append(w.hashes)
+                counts.append(w.counts)
+            held, at = int(reach[to - at - 1]), to
             if held >= size:
                 yield number, numbered(rows, hashes, counts)
                 number, held = number + 1, 0
