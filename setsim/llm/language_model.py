@@ -132,8 +132,7 @@ def walk(machine: Automaton, c: Chunk, piece: int = PIECE) -> np.ndarray:
 
 
 def score_chunk(table: pa.Table, shards: int, total: int, distinct: int, prior: dict[int, float], piece: int) -> pa.Table:
-    c, found, answers = gathered(table, ORDER, shards)
-    counts = [x[:, 0] for x in answers]
+    c, found, counts, _ = gathered(table, ORDER, shards)
     machine = Automaton(c, found, counts, total, distinct, prior)
     doc = np.repeat(np.arange(len(c.n)), c.n)
     per_doc = lambda x: np.bincount(doc, weights=x, minlength=len(c.n))

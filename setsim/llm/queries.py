@@ -98,7 +98,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "lang", "n_words", "perplexity", "threshold", "kept")
+    return found.select("doc_id", "lang", "n_words", "perplexity", "threshold", "type_perplexity", "type_threshold", "kept")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

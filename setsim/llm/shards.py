@@ -31,7 +31,7 @@ from .words import U64, blocks, combine, mix, words
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 CHUNK_BYTES = 3 << 20
 #: Input bytes of text for each shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 ANSWER, TOTAL, TEXTS = range(3)
 
 
@@ -192,6 +192,13 @@ def dealt(found: list[Level], shards: int) -> tuple[np.ndarray, np.ndarray, np.n
     return by, key[by], shard, np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
 
 
+def address(hashes: np.ndarray, shards: int, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and key of words, or of the pairs of words `after` and `hashes`; as dealt() gives them."""
+    key, route = (hashes, mix(hashes)) if after is None else (combine(after, hashes), combine(hashes, mix(after)))
+    key = key >> U64(64 - KEY_BITS) & ~U64(1) | U64(after is None)
+    return ((route >> U64(40)) * U64(shards) >> U64(24)).astype(np.int32), key
+
+
 def xor(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(keys).view(np.int64)) if len(keys) else 0
 
@@ -243,21 +250,27 @@ def texts(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     return docs.mapInArrow(run, f"kind int, chunk long, rows array<{row}>, hashes binary, token binary, n_tokens binary")
 
 
-def gathered(table: pa.Table, order: int, shards: int, width: int = 1) -> tuple[Chunk, list[Level], list[np.ndarray]]:
-    """A chunk from its row of texts and the shards' replies: the chunk, its n-grams, and for each order the answers."""
+def gathered(table: pa.Table, order: int, shards: int, extra: int = 0) -> tuple[Chunk, list[Level], list[np.ndarray], np.ndarray]:
+    """A chunk from its row of texts and the shards' replies: the chunk, its n-grams, for each order the answers, and the words' extra ones.
+
+    A reply has a number for each key and then `extra` more for each word among them.
+    """
     rows = table.select(["kind", "shard", "check", "answer", "hashes", "token", "n_tokens"]).to_pylist()
     at, head = next((k, r) for k, r in enumerate(rows) if r["kind"] == TEXTS)
     c = Chunk(table.column("rows")[at].values, np.frombuffer(head["hashes"], U64), unpacked(head["token"], np.int32), unpacked(head["n_tokens"], np.int64))
     found = levels(c, order)
     by, keys, shard, cuts = dealt(found, shards)
     given = sorted((r for r in rows if r["kind"] == ANSWER), key=lambda r: r["shard"])
-    wanted = [(int(shard[lo]), xor(keys[lo:hi])) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-    if wanted != [(r["shard"], r["check"]) for r in given]:
+    ranges = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+    if [(int(shard[lo]), xor(keys[lo:hi])) for lo, hi in ranges] != [(r["shard"], r["check"]) for r in given]:
         raise RuntimeError("a chunk's answers do not fit its requests: the input changed between two reads")
-    answers = np.concatenate([unpacked_counts(r["answer"], (hi - lo) * width).reshape(-1, width) for r, lo, hi in zip(given, cuts[:-1].tolist(), cuts[1:].tolist())])
-    straight = np.empty_like(answers)
-    straight[by] = answers
-    return c, found, np.split(straight, np.cumsum([len(x.key) for x in found])[:-1])
+    answers, more = np.empty(len(by), dtype=np.int64), np.zeros((len(c.hashes), extra), dtype=np.int64)
+    for r, (lo, hi) in zip(given, ranges):
+        word = by[lo:hi][keys[lo:hi] & U64(1) == 1]
+        got = unpacked_counts(r["answer"], hi - lo + extra * len(word))
+        answers[by[lo:hi]] = got[: hi - lo]
+        more[word] = got[hi - lo :].reshape(-1, extra)
+    return c, found, np.split(answers, np.cumsum([len(x.key) for x in found])[:-1]), more
 
 
 def n_shards(docs: DataFrame, text: str = "text") -> int:

@@ -50,31 +50,59 @@ def sampled(df: DataFrame, id_col: str, limit: int) -> DataFrame:
 
 
 #: A quantile narrows its column by counts of this many ranges until so few rows are left, which the driver sorts.
-QUANTILE_RANGES, QUANTILE_ROWS = 1024, 10_000
+QUANTILE_RANGES, QUANTILE_ROWS = 512, 5_000
 
 
-def exact_quantile(df: DataFrame, column: str, share: float) -> float | None:
-    """The least value of a double column that at least `share` of its values reach no higher than; None without values.
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], by: str | None = None) -> dict[object, list[float]]:
+    """For each group the least values of a double column that at least the given shares of its values reach no higher than.
 
-    Ranges of equal width between the least and the greatest value left are counted, and the
-    one that holds the wanted rank is kept, so the value is exact, whatever the order of rows.
+    Groups are those of `by`, null left out, and None stands for all rows. Each round counts
+    ranges of equal width between the least and the greatest value left of every group and
+    share, in one aggregate, and keeps the range that holds the wanted rank; so values are
+    exact, whatever the order of rows. Groups without values are absent.
     """
-    x = F.col(column)
-    df = df.where(x.isNotNull()).select(x)
-    extent = lambda d: d.agg(F.count("*"), F.min(x), F.max(x)).first()
-    n, low, high = extent(df)
-    rank = max(math.ceil(share * n), 1)
-    while n > QUANTILE_ROWS and low < high:
-        part = F.least(F.floor((x - low) / (high - low) * QUANTILE_RANGES), F.lit(QUANTILE_RANGES - 1))
-        for k, in_part in sorted(tuple(r) for r in df.groupBy(part).count().collect()):  # at most QUANTILE_RANGES rows
-            if rank <= in_part:
-                break
-            rank -= in_part
-        df = df.where(part == k)
-        n, low, high = extent(df)
-    if n == 0 or low == high:
-        return low
-    return sorted(r[0] for r in df.collect())[rank - 1]
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), (F.col(by).cast("string") if by else F.lit(None).cast("string")).alias("g"))
+    if by:
+        rows = rows.select("x", F.explode(F.array_distinct(F.array("g", F.lit(None).cast("string")))).alias("g"))
+    left = {(r["g"], k): [max(math.ceil(s * r["n"]), 1), r["low"], r["high"], r["n"]] for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect() for k, s in enumerate(shares)}
+    spark, found = df.sparkSession, {}
+
+    def within(targets: list[tuple]) -> DataFrame:
+        wanted = spark.createDataFrame([(g, k, *left[g, k][1:3]) for g, k in targets], "g string, k int, low double, high double")
+        return rows.join(F.broadcast(wanted.withColumnRenamed("g", "h")), F.col("g").eqNullSafe(F.col("h")) & F.col("x").between(F.col("low"), F.col("high")))
+
+    while wide := [t for t, (_, low, high, n) in left.items() if n > QUANTILE_ROWS and low < high]:
+        part = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * QUANTILE_RANGES), F.lit(QUANTILE_RANGES - 1))
+        counted = within(wide).groupBy("g", "k", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        for r in sorted(counted.collect(), key=lambda r: r["part"]):  # at most QUANTILE_RANGES rows a group and share
+            target = left[r["g"], r["k"]]
+            if (r["g"], r["k"]) in wide:
+                if target[0] <= r["n"]:
+                    target[1:] = r["low"], r["high"], r["n"]
+                    wide.remove((r["g"], r["k"]))
+                else:
+                    target[0] -= r["n"]
+    near = [t for t, (_, low, high, _) in left.items() if low < high]
+    for t, (_, low, high, _) in left.items():
+        if low == high:
+            found[t] = low
+    values: dict[tuple, list[float]] = {}
+    for r in within(near).select("g", "k", "x").collect() if near else []:  # at most QUANTILE_ROWS a group and share
+        values.setdefault((r["g"], r["k"]), []).append(r["x"])
+    for t, xs in values.items():
+        found[t] = sorted(xs)[left[t][0] - 1]
+    return {g: [found[g, k] for k in range(len(shares))] for g, _ in left}
+
+
+def exact_quantile(df: DataFrame, column: str, share: float) -> float | None:
+    """The quantile over all rows; None without values."""
+    return exact_quantiles(df, column, [share]).get(None, [None])[0]
+
+
+def halved(ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two halves by a hash of the id: one to fit a model to, one to judge it by."""
+    first = F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2)) == 0
+    return ids.where(first), ids.where(~first)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -255,11 +255,15 @@ def test_quality_threshold_is_the_exact_rank(spark):
 
 @pytest.mark.parametrize(("values", "rows"), [([], 5), ([None], 5), ([2.0] * 40, 5), ([float(k % 7) for k in range(500)] + [None], 5), ([1e9, -1e9, *(k / 1e6 for k in range(3000))], 50)])
 def test_exact_quantile(spark, monkeypatch, values, rows):
-    monkeypatch.setattr(shared, "QUANTILE_ROWS", rows)
+    monkeypatch.setattr(shared, "QUANTILE_ROWS", rows), monkeypatch.setattr(shared, "QUANTILE_RANGES", 16)
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
     ordered = sorted(v for v in values if v is not None)
     for share in (0.0, 0.01, 0.5, 0.99, 1.0):
         assert shared.exact_quantile(df, "x", share) == (ordered[max(math.ceil(share * len(ordered)), 1) - 1] if ordered else None)
+    grouped = df.withColumn("g", (F.col("x") % 3).cast("int"))
+    got = shared.exact_quantiles(grouped, "x", [0.3, 0.9], "g")
+    for g, xs in [(None, ordered), *((str(g), [x for x in ordered if int(math.fmod(x, 3)) == g]) for g in (0, 1, 2))]:
+        assert got.get(g) == ([xs[max(math.ceil(s * len(xs)), 1) - 1] for s in (0.3, 0.9)] if xs else None)
 
 
 @pytest.mark.parametrize("judge", [quality_rules.apply_rules, perplexity.classify])
@@ -295,16 +299,35 @@ def plain_kneser_ney(training, texts):
             high = (bi[u, v] - d[min(bi[u, v], 3) - 1]) / ctx[u] if bi[u, v] else 0.0
             back = sum(d[min(c, 3) - 1] for c in follow[u]) / ctx[u] if ctx[u] else 1.0
             logs += math.log(high + back * low)
-        out.append(math.exp(-logs / len(x)))
+        out.append((math.exp(-logs / len(x)), math.exp(min(700.0, -logs / len(set(zip(["<s>", *x], x)))))))
     return out
 
 
-def test_perplexity_matches_a_plain_model(docs, rows):
+@pytest.mark.parametrize("n", [1, 9])
+def test_perplexity_matches_a_plain_model(docs, rows, n):
     training = [r for r in rows if r[0] is not None and r[0] % 2]
-    model = perplexity.fit(docs.where("doc_id % 2 = 1"), "text")
-    got = {(r.doc_id, r.text_hash): r.perplexity for r in perplexity.scored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), model, "text").collect()}
+    model = perplexity.Model(docs.where("doc_id % 2 = 1"), "text", n)
+    as_input = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("row"), F.col("text"))
+    got = {(r.row.doc_id, r.row.h): (r.perplexity, r.type_perplexity) for r in perplexity.scored(as_input, model, n).collect()}
     expected = plain_kneser_ney([r[1] for r in training], [r[1] for r in rows])
-    assert np.allclose(sorted(v for v in got.values()), sorted({(r[0], r[1]): p for r, p in zip(rows, expected)}.values()), rtol=1e-4)
+    assert np.allclose(sorted(got.values()), sorted({(r[0], r[1]): p for r, p in zip(rows, expected)}.values()), rtol=1e-9)
+
+
+def test_perplexity_thresholds_are_exact_ranks_by_language(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"{lang}{int(50 * rng.random() ** 2)}" for _ in range(rng.randint(3, 30))), lang) for k, lang in enumerate(rng.choices(["a", "b", None, "few"], [50, 40, 8, 2], k=500))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(k, 1, 0) for k, _, _ in rows], "doc_id long, quality int, toxic int")
+    got = perplexity.classify(docs, marks, high_quantile=0.9, slack=1.5).collect()
+    _, judged = shared.halved(shared.trusted_ids(marks), "doc_id")
+    judged = {r.doc_id for r in judged.collect()}
+    rank = lambda xs: sorted(xs)[math.ceil(0.9 * len(xs)) - 1]
+    base = [r for r in got if r.doc_id in judged and r.n_words >= 5]
+    for lang in ("a", "b", None, "few"):
+        own = [r for r in base if r.lang == lang] if lang in ("a", "b") else base
+        for r in (r for r in got if r.lang == lang):
+            assert r.threshold == pytest.approx(1.5 * rank([x.perplexity for x in own])) and r.type_threshold == pytest.approx(1.5 * rank([x.type_perplexity for x in own]))
+            assert r.kept == (r.n_words < 5 or (r.perplexity <= r.threshold and r.type_perplexity <= r.type_threshold))
 
 
 def test_perplexity_without_labels_or_rows(spark, docs):
