@@ -27,6 +27,8 @@ from .words import U64, blocks, words
 
 #: Quantile of the trusted perplexities of either kind, and the factor above it, beyond which a text is rejected.
 HIGH_QUANTILE, SLACK = 0.995, 1.1
+#: Passes over the documents, each of which asks for an equal part of the chunks.
+PASSES = 3
 #: Trusted documents of a language from which it has quantiles of its own.
 LEAST_JUDGED = 30
 #: Texts of fewer words say too little and are kept.
@@ -137,14 +139,21 @@ def perplexities(table: pa.Table, shards: int, numbers: tuple) -> pa.Table:
     return pa.table({"row": c.rows, "n_words": pa.array(c.n - 1), "perplexity": pa.array(np.exp(-logs / c.n)), "type_perplexity": pa.array(np.exp(np.minimum(-logs / types, 700.0)))})
 
 
-def scored(docs: DataFrame, model: Model, shards: int) -> DataFrame:
-    """Perplexities of docs (row struct, text): row, n_words, perplexity, type_perplexity."""
-    both = ask(docs, 2, shards).groupBy("shard").cogroup(model.entries.groupBy("shard"))
-    replied = written(both.applyInArrow(answer, REPLY), "answers")
-    every = texts(docs).unionByName(replied.select("kind", "shard", "chunk", "check", "answer"), allowMissingColumns=True)
+def scored(docs: DataFrame, model: Model, shards: int, passes: int = PASSES) -> DataFrame:
+    """Perplexities of docs (row struct, text): row, n_words, perplexity, type_perplexity.
+
+    Requests are larger than the texts' files, so chunks are handled in passes; each frees
+    its requests and answers before the next.
+    """
     numbers, row = model.numbers(), docs.schema["row"].dataType.simpleString()
-    out = written(every.groupBy("chunk").applyInArrow(lambda t: perplexities(t, shards, numbers), f"row {row}, n_words long, perplexity double, type_perplexity double"), "scored")
-    discard(replied)
+    out: DataFrame | None = None
+    for k in range(passes):
+        both = ask(docs, 2, shards, part=(k, passes)).groupBy("shard").cogroup(model.entries.groupBy("shard"))
+        replied = written(both.applyInArrow(answer, REPLY), "answers")
+        every = texts(docs, part=(k, passes)).unionByName(replied.select("kind", "shard", "chunk", "check", "answer"), allowMissingColumns=True)
+        done = written(every.groupBy("chunk").applyInArrow(lambda t: perplexities(t, shards, numbers), f"row {row}, n_words long, perplexity double, type_perplexity double"), "scored")
+        discard(replied)
+        out = done if out is None else out.union(done)
     return out
 
 

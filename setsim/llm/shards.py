@@ -92,46 +92,47 @@ class Chunk:
         return np.cumsum(self.n) - self.n
 
 
-def numbered(rows: list[pa.Array], hashes: list[np.ndarray], counts: list[np.ndarray]) -> Chunk:
-    """A chunk of words and one end token a document; the begin token has a number but no place."""
-    n = np.concatenate(counts) + 1
+def numbered(pieces: list[tuple[pa.Array, pa.Array]]) -> Chunk:
+    """A chunk of pieces (rows, texts): words and one end token a document; the begin token has a number but no place."""
+    found = [words(block) for _, t in pieces for block in blocks(t)]
+    n = np.concatenate([w.counts for w in found]) + 1
     token = np.empty(int(n.sum()), dtype=U64)
     is_end = np.zeros(len(token), dtype=bool)
     is_end[np.cumsum(n) - 1] = True
-    token[is_end], token[~is_end] = END, np.concatenate(hashes)
+    token[is_end], token[~is_end] = END, np.concatenate([w.hashes for w in found])
     distinct, inverse = np.unique(np.append(token, BEGIN), return_inverse=True)
-    return Chunk(pa.concat_arrays(rows), distinct, inverse[:-1].astype(np.int32), n)
+    return Chunk(pa.concat_arrays([r for r, _ in pieces]), distinct, inverse[:-1].astype(np.int32), n)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], row: str, text: str, size: int) -> Iterator[tuple[int, Chunk]]:
-    """Cuts a task's documents into numbered chunks, the same ones whenever the task runs and however it is fed.
+#: One pass over all chunks; (k, n) stands for every n-th from k on.
+ALL = (0, 1)
 
-    A chunk ends with the document that brings it to `size` bytes.
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int, part: tuple[int, int] = ALL) -> Iterator[tuple[int, Chunk]]:
+    """Cuts a task's documents (row, text) into numbered chunks, the same ones whenever the task runs and however it is fed.
+
+    A chunk ends with the document that brings it to `size` bytes; those of other parts are only counted.
     """
-    number = TaskContext.get().partitionId() << 32
-    rows: list[pa.Array] = []
-    hashes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    held = 0
+    task = TaskContext.get().partitionId()
+    number, held = task << 32, 0
+    pieces: list[tuple[pa.Array, pa.Array]] = []
+    wanted = lambda: (number + task) % part[1] == part[0]
     for b in batches:
-        lengths = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row, text = b.column("row"), b.column("text")
+        lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < len(lengths):
             reach = held + np.cumsum(lengths[at:])
-            full = int(np.searchsorted(reach, size))
-            to = min(at + full + 1, len(lengths))
-            for block in blocks(b.column(text).slice(at, to - at)):
-                w = words(block)
-                rows.append(b.column(row).slice(at + block.first, block.n))
-                hashes.append(w.hashes)
-                counts.append(w.counts)
+            to = min(at + int(np.searchsorted(reach, size)) + 1, len(lengths))
+            if wanted():
+                pieces.append((row.slice(at, to - at), text.slice(at, to - at)))
             held, at = int(reach[to - at - 1]), to
             if held >= size:
-                yield number, numbered(rows, hashes, counts)
-                number, held = number + 1, 0
-                rows, hashes, counts = [], [], []
-    if rows:
-        yield number, numbered(rows, hashes, counts)
+                if wanted():
+                    yield number, numbered(pieces)
+                number, held, pieces = number + 1, 0, []
+    if pieces:
+        yield number, numbered(pieces)
 
 
 @dataclass
@@ -215,11 +216,11 @@ def replies(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(REPLY_ARROW)], schema=REPLY_ARROW)
 
 
-def ask(docs: DataFrame, order: int, shards: int, count: Callable[[Chunk, list[Level]], list[np.ndarray]] | None = None, size: int = CHUNK_BYTES) -> DataFrame:
-    """Requests of all chunks of docs (row struct, text): keys, and what `count` gives for each n-gram."""
+def ask(docs: DataFrame, order: int, shards: int, count: Callable[[Chunk, list[Level]], list[np.ndarray]] | None = None, size: int = CHUNK_BYTES, part: tuple[int, int] = ALL) -> DataFrame:
+    """Requests of a part of the chunks of docs (row struct, text): keys, and what `count` gives for each n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c in chunks(batches, "row", "text", size):
+        for number, c in chunks(batches, size, part):
             found = levels(c, order)
             by, keys, shard, cuts = dealt(found, shards)
             counts = np.concatenate(count(c, found))[by] if count else None
@@ -238,12 +239,12 @@ def asked(table: pa.Table) -> tuple[np.ndarray, list[int]]:
     return np.concatenate([*keys, np.zeros(0, U64)]), [len(k) for k in keys]
 
 
-def texts(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
+def texts(docs: DataFrame, size: int = CHUNK_BYTES, part: tuple[int, int] = ALL) -> DataFrame:
     """Each chunk's documents as token numbers; cut anew instead of kept, since only the last step needs them."""
     row = docs.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c in chunks(batches, "row", "text", size):
+        for number, c in chunks(batches, size, part):
             rows = pa.ListArray.from_arrays(pa.array([0, len(c.rows)], pa.int32()), c.rows)
             yield pa.RecordBatch.from_arrays([pa.array([TEXTS], pa.int32()), pa.array([number], pa.int64()), rows, *(pa.array([x], pa.binary()) for x in (c.hashes.tobytes(), packed(c.token), packed(c.n)))], names=["kind", "chunk", "rows", "hashes", "token", "n_tokens"])
 
