@@ -270,7 +270,7 @@ def gathered(table: pa.Table, order: int, shards: int, extra: int = 0) -> tuple[
         word = by[lo:hi][keys[lo:hi] & U64(1) == 1]
         got = unpacked_counts(r["answer"], hi - lo + extra * len(word))
         answers[by[lo:hi]] = got[: hi - lo]
-        more[word] = got[hi - lo :].reshape(-1, extra)
+        more[word] = got[hi - lo :].reshape(len(word), extra)
     return c, found, np.split(answers, np.cumsum([len(x.key) for x in found])[:-1]), more
 
 
