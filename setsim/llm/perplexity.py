@@ -28,7 +28,7 @@ from .words import U64, blocks, words
 #: Quantile of the trusted perplexities of either kind, and the factor above it, beyond which a text is rejected.
 HIGH_QUANTILE, SLACK = 0.995, 1.1
 #: Passes over the documents, each of which asks for an equal part of the chunks.
-PASSES = 2
+PASSES = 3
 #: Trusted documents of a language from which it has quantiles of its own.
 LEAST_JUDGED = 30
 #: Texts of fewer words say too little and are kept.
