@@ -1,11 +1,18 @@
-"""Personal data by generated candidates and boosted trees, in SQL functions only.
+"""Personal data and secrets by generated candidates and boosted trees, in SQL functions only.
 
 Four plain patterns give the base spans. Wider generators propose further spans, such as a
-card number that a plain match swallowed, a national phone number or a spelt-out address.
-Boosted trees score each proposal by its format and what stands beside it; thresholds are
-calibrated per kind on held-out examples. Where accepted proposals overlap, the best one
-of each cluster stays, and none may touch a base span. The trees are trained on generated
-examples, so a model does not depend on the corpus it is used on.
+card number that a plain match swallowed, a national phone number, a spelt-out address or a
+long run of letters and digits that may be a secret. Boosted trees score each proposal by
+its format and what stands beside it; thresholds are calibrated per kind on held-out
+documents. Where accepted proposals overlap, the best one of each cluster stays, and none
+may touch a base span.
+
+The trees are fitted to the corpus itself: of the plain patterns' matches those that pass
+their check are examples and those that fail it counterexamples, and a proposed secret is an
+example if a word such as password stands before it. The checks and those words are no
+features, so trees learn format and context. At most MAX_EXAMPLES candidates are taken, by
+hash; generated examples stand in for forms that a corpus may lack. A proposed card or
+phone must pass its check whatever its score.
 
 Patterns use possessive repeats, and look behind where a scan could start over in the same
 run of characters, so that very long texts take linear time and no deep recursion.
@@ -17,9 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import boosting
-from .shared import KEY, ROW, keyed, row_key, written
+from .shared import KEY, ROW, discard, keyed, row_key, sampled, written
 
+#: Kinds of base spans, and the kind that only the method adds.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 # The base patterns, spelt so that they match exactly what the plain ones match.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -29,10 +38,11 @@ BASE = {
 }
 #: Generators of further candidates.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z.])(?:[0-9]{4}[ ./-]?){3}[0-9]{1,7}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+?[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{3,4}(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9@])",
 }
 CUES = {
     "email": r"(?i)(?:mail|contact|write|address)[^\n]*$",
@@ -40,8 +50,13 @@ CUES = {
     "card": r"(?i)(?:card|visa|master|credit|pay)[^\n]*$",
     "phone": r"(?i)(?:phone|call|tel|fax|mobile|cell|\+)[^\n]*$",
 }
+#: Words before a run of letters and digits that name it a secret, and a sign of assignment.
+SECRET_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)[^\n]*$"
+ASSIGNED = r"(?:=|:|->) ?[\"'`]?$"
 DECOYS = r"(?i)(?:\b(?:isbn|order|invoice|version|id|no|ref|serial|date|release)\b)[^\n]*$"
-FEATURES = ["f_kind", "f_digits", "f_seps", "f_length", "f_luhn", "f_plus", "f_paren", "f_groups", "f_cue", "f_decoy", "f_first", "f_left", "f_right"]
+FEATURES = ["f_kind", "f_seps", "f_length", "f_plus", "f_paren", "f_groups", "f_cue", "f_decoy", "f_first", "f_left", "f_right", "f_runs", "f_hex", "f_assigned"]
+#: Most candidates of the corpus that the trees are fitted to.
+MAX_EXAMPLES = 20_000
 #: Share of accepted held-out examples that must be right.
 PRECISION = 0.95
 
@@ -79,11 +94,9 @@ def features() -> list[Column]:
     kind, match = F.col("kind"), F.col("match")
     by_kind = lambda values: F.coalesce(*(F.when(kind == k, v) for k, v in values.items()), F.lit(0))
     values = {
-        "f_kind": by_kind({k: F.lit(n) for n, k in enumerate(KINDS)}),
-        "f_digits": F.length(digits_of(match)),
+        "f_kind": by_kind({k: F.lit(n) for n, k in enumerate(ALL_KINDS)}),
         "f_seps": F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")),
         "f_length": F.length(match),
-        "f_luhn": luhn(match).cast("int"),
         "f_plus": match.startswith("+").cast("int"),
         "f_paren": F.instr(match, ")"),
         "f_groups": F.when(match.rlike(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), 2).when(match.rlike(r"^[0-9]{4}-[0-9]{2,3}-"), 1).otherwise(0),
@@ -92,6 +105,9 @@ def features() -> list[Column]:
         "f_first": F.ascii(match) - 32,
         "f_left": char_class(F.right("before", F.lit(1))),
         "f_right": char_class(F.left("after", F.lit(1))),
+        "f_runs": F.length(F.regexp_replace(match, "[0-9]+|[A-Za-z]+", "x")),
+        "f_hex": F.when(match.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 2).when(match.rlike("[a-z]") & match.rlike("[A-Z]"), 1).otherwise(0),
+        "f_assigned": F.col("before").rlike(ASSIGNED).cast("int"),
     }
     return [boosting.clipped(v).alias(n) for n, v in values.items()]
 
@@ -114,27 +130,40 @@ def examples(spark: SparkSession, n: int = 4000) -> DataFrame:
         ("ip", 1): F.concat_ws(":", *(hex4(k) for k in range(10, 18))),
         ("ip", 0): F.concat_ws(":", *(num(k, 2) for k in range(10, 18))),
         ("card", 1): oneof(20, good_card, group4(good_card, " "), group4(good_card, "-")),
-        ("card", 0): oneof(20, num(21, 16), group4(num(21, 16), "-"), F.concat(F.lit("2024"), num(22, 10)), num(23, 18), num(24, 13)),
+        ("card", 0): oneof(20, good_card, group4(good_card, "-"), F.concat(F.lit("2024"), num(22, 10))),  # told by what stands before
         ("phone", 1): F.concat(oneof(30, "+1 ", "+44 ", "", ""), oneof(31, F.concat(F.lit("("), num(32, 3), F.lit(") ")), F.concat(num(32, 3), F.lit("-"))), num(33, 3), oneof(34, "-", " "), num(35, 4)),
+        ("secret", 1): oneof(50, F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40), F.substring(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), 3, 32), F.concat(F.lit("sk_"), F.substring(F.sha1(F.col("id").cast("string")), 1, 24))),
+        ("secret", 0): oneof(50, F.concat(F.lit("section-"), num(51, 1), F.lit("-of-the-report")), F.concat(F.lit("home/user"), num(51, 2), F.lit("/documents/letters")), F.concat(F.lit("version_"), num(51, 2), F.lit("_released_today")), F.concat(F.lit("2024-"), num(51, 2), F.lit("-"), num(52, 2), F.lit("T"), num(53, 6), F.lit("Z"))),
         ("phone", 0): oneof(30, F.concat(F.lit("2024-"), num(31, 3), F.lit("-"), num(32, 3)), F.concat(num(31, 2), F.lit("."), num(32, 3), F.lit("."), num(33, 3)), F.concat(num(31, 3), F.lit(" "), num(32, 3), F.lit(" "), num(33, 3)), F.concat(F.lit("978-"), num(31, 3), F.lit("-"), num(32, 4))),
     }
     names = list(forms)
     which = pick(0, len(names)).cast("int") + 1
     kind, label = (F.element_at(F.array(*(F.lit(x[k]) for x in names)), which) for k in (0, 1))
     cue = oneof(40, "the ", "and ", "reach me: ", "call ", "card: ", "host ", "mail ", "von ")
-    decoy = oneof(41, "order ", "invoice no ", "version ", "total ", "ISBN ", "ref ", "the ", "and ")
-    before = F.when(label == 1, cue).otherwise(F.when(pick(42, 2) == 0, decoy).otherwise(cue))
+    decoy = oneof(41, "order ", "invoice no ", "version ", "serial ", "ISBN ", "ref ", "id: ", "release ")
+    before = F.when(kind == "secret", F.when(label == 1, oneof(45, 'token = "', "password: ", "API_KEY=", "secret -> '")).otherwise(oneof(45, "see ", "in ", "the file ", "chapter: "))).otherwise(F.when(label == 1, cue).otherwise(F.when((kind == "card") | (pick(42, 2) == 0), decoy).otherwise(cue)))
     return spark.range(n).select(kind.alias("kind"), label.alias("label"), F.element_at(F.array(*forms.values()), which).alias("match"), before.alias("before"), oneof(43, " ", ".", ",", "\n").alias("after"), pick(44, 4).alias("fold"))
 
 
-def train(spark: SparkSession) -> tuple[list[boosting.Node], dict[str, float]]:
+def corpus_examples(found: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
+    """A sample of the corpus's candidates with their labels, as examples() gives them; folds go by document."""
+    kind, match, before = F.col("kind"), F.col("match"), F.col("before")
+    judged = found.where(F.col("base") | (kind == "secret"))
+    label = F.when(F.col("base"), valid(kind, match)).otherwise(before.rlike(SECRET_WORDS)).cast("int")
+    rows = judged.select("kind", label.alias("label"), "match", "before", "after", F.pmod(F.xxhash64(KEY, F.lit("fold")), F.lit(4)).alias("fold"), F.xxhash64(KEY, "kind", "n").alias("pick"))
+    return sampled(rows, "pick", most).drop("pick")
+
+
+def train(spark: SparkSession, found: DataFrame | None = None) -> tuple[list[boosting.Node], dict[str, float]]:
     """The trees, and for each kind the least score at which held-out acceptances are precise enough."""
-    rows = written(examples(spark).select("kind", "label", "fold", *features()).coalesce(1), "examples")
-    trees = boosting.fit(rows.where("fold > 0"), FEATURES, "label")
-    judged = rows.where("fold = 0").select("kind", "label", F.round(boosting.probability(trees), 2).alias("p"))
+    labelled = examples(spark) if found is None else examples(spark).unionByName(corpus_examples(found))
+    rows = written(labelled.select("kind", "label", "fold", *features()).coalesce(1), "examples")  # MAX_EXAMPLES and 4,000 rows at most
+    trees = boosting.fit(rows.where("fold > 0"), FEATURES, "label", rounds=12, depth=3)
+    judged = rows.where("fold = 0").select("kind", "label", (F.floor(100 * boosting.probability(trees)) / 100).alias("p"))
     table = judged.groupBy("kind", "p").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy("kind", F.desc("p")).collect()  # 101 scores a kind at most
+    discard(rows)
     limits: dict[str, float] = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         good = n = 0
         for r in table:
             if r["kind"] == kind:
@@ -173,12 +202,13 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     repeated rows each get theirs; an empty table gives none; other columns are ignored.
     """
     rows = docs.select(F.col(id_col), F.col(text).alias("__text")).withColumn(KEY, row_key(id_col, "__text"))
-    trees, limits = train(docs.sparkSession)
-    spans = candidates(rows.select(KEY, "__text"), "__text")
-    scored = spans.select(KEY, "kind", "start", "end", "base", F.when(F.col("base"), valid(F.col("kind"), F.col("match"))).alias("ok"), *(F.when(~F.col("base"), x).alias(n) for n, x in zip(FEATURES, features())))
+    spans = written(candidates(rows.select(KEY, "__text"), "__text"), "candidates")
+    trees, limits = train(docs.sparkSession, spans)
+    check = F.when(F.col("base") | F.col("kind").isin("card", "phone"), valid(F.col("kind"), F.col("match"))).otherwise(True)
+    scored = spans.select(KEY, "kind", "start", "end", "base", check.alias("ok"), *(F.when(~F.col("base"), x).alias(n) for n, x in zip(FEATURES, features()))).where("ok")
     limit = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in limits.items()), F.lit(2.0))
-    scored = scored.withColumn("p", F.when(~F.col("base"), boosting.probability(trees))).where(F.when(F.col("base"), F.col("ok")).otherwise(F.col("p") >= limit))
-    order = F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for n, k in enumerate(KINDS)))
+    scored = scored.withColumn("p", F.when(~F.col("base"), boosting.probability(trees))).where(F.col("base") | (F.col("p") >= limit))
+    order = F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for n, k in enumerate(ALL_KINDS)))
     scored = scored.select(KEY, "kind", order.alias("order"), "start", "end", "base", "p")
     # A proposal may not touch a base span on either side.
     by_start = Window.partitionBy(KEY).orderBy("start", F.desc("base"), "end", "order")

@@ -487,14 +487,14 @@ def test_personal_data(spark):
     for r in got:
         taken = [(s.start, s.end) for s in [*r.base, *r.added]]
         for s in r.added:
-            assert s.kind in KINDS and 0 <= s.start < s.end <= len(texts[r.doc_id])
+            assert s.kind in personal_data.ALL_KINDS and 0 <= s.start < s.end <= len(texts[r.doc_id])
             assert sum(a < s.end and s.start < b for a, b in taken) == 1
     assert any(texts[r.doc_id][s.start : s.end] == "(212) 555-0199" for r in got for s in r.added)
 
 
 def test_personal_data_model_on_held_out_examples(spark):
     trees, limits = personal_data.train(spark)
-    assert set(limits) == set(KINDS)
+    assert set(limits) == set(personal_data.ALL_KINDS)
     from setsim.llm import boosting
 
     rows = personal_data.examples(spark, 12_000).where("id is null or true") if "id" in personal_data.examples(spark, 1).columns else personal_data.examples(spark, 12_000)
@@ -504,6 +504,28 @@ def test_personal_data_model_on_held_out_examples(spark):
     assert sum(taken) >= 0.7 * sum(r.label for r in judged)
 
 
+def test_secrets_are_learnt_from_the_corpus(spark):
+    rng = random.Random(6)
+    secret = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    hidden = {k: f"words before token = \"{secret(40)}\" and after" for k in range(60)}
+    hidden |= {100 + k: f"plain api_key: {secret(32)} here" for k in range(20)}
+    open_ = {200 + k: f"see section-{k}-of-the-long-report, by A1-{k} at home/user{k}/documents/letters" for k in range(40)}
+    docs = spark.createDataFrame([*hidden.items(), *open_.items()], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.added] for r in personal_data.find_spans(docs).collect()}
+    for k, t in hidden.items():
+        m = re.search("[0-9a-f]{32,}", t)
+        assert got[k] == [("secret", m.start(), m.end())]
+    assert not any(got[k] for k in open_)
+    cleaned = {r.doc_id: r.text for r in personal_data.redact(docs).collect()}
+    assert all(cleaned[k] == re.sub("[0-9a-f]{32,}", "<secret>", t) for k, t in hidden.items())
+
+
+def test_long_addresses_are_proposed(spark):
+    text = "write to " + "a" * 90 + " (at) " + ".".join(["host" * 20] * 12) + " today"
+    (got,) = personal_data.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [text[s.start : s.end] for s in got.added] == [text[9:-6]]
+
+
 def test_redaction(spark):
     rows = [(1, "é a.b@c.de x +1 (212) 555-0199", "k"), (2, None, None), (3, "plain", "k"), (3, "plain", "k"), (4, "", None)]
     got = personal_data.redact(spark.createDataFrame(rows, "doc_id long, text string, base string")).collect()
