@@ -4,11 +4,15 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -553,6 +557,64 @@ def test_odd_pages(page, text):
     assert extract.main_text(page) == text
 
 
+LONG = "This is a sentence of the article itself, which has commas, words, and some length."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="overflow-hidden"><p>{LONG}</p><p>{LONG}</p></div><p>Something short, elsewhere, on the page.</p>', f"{LONG} {LONG}"),
+        (f'<div class="post comments-open"><p>{LONG}</p></div>', LONG),
+        (f"<body><form action=x><div><p>{LONG}</p><input><p>{LONG}</p></div></form></body>", f"{LONG} {LONG}"),
+        (f"<main><article><p>{LONG}</p></article><article><p>{LONG} Two.</p></article></main>", f"{LONG} {LONG} Two."),
+        (f"<article><header><h1>Title</h1><p>A lead.</p></header><p>{LONG}</p></article>", f"Title A lead. {LONG}"),
+        (f'<header><p>Site name, slogan.</p></header><article><p>{LONG}</p></article><form><p>Sign up here, now.</p></form>', LONG),
+        (f'<article><p>{LONG}</p></article><div class="comment-list"><p>{LONG} Reader.</p><p>{LONG} Reader.</p></div>', LONG),
+        (f'<article><p>{LONG}</p></article><article class="comment"><p>{LONG} Reader.</p></article>', LONG),
+    ],
+)
+def test_text_is_not_lost_to_names(page, text):
+    assert extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</x>" * 100_000 + "t", "<p>" + "<b>" * 20_000 + "<div></div>" * 20_000 + "t", "<table><tr><td>" + "<b>" * 20_000 + "<li>" * 20_000 + "t", "<b>" * 20_000 + "<p>word, word, word, word, word." * 5_000, "<a '" * 50_000 + "t", "<!" * 50_000, "&" * 100_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    extract.main_text(page)
+    assert time.perf_counter() - began < 4
+
+
+class ArticleText(HTMLParser):
+    """The text within <article>, blocks joined by a space: all there is to find on the synthetic pages."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.parts.append(" " if tag not in extract.INLINE else "")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.parts.append(" " if tag not in extract.INLINE else "")
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def test_synthetic_pages_against_a_plain_parser():
+    pages = Path("/root/testdata/sf0.001/pages.parquet")
+    if not pages.exists():
+        pytest.skip("no synthetic pages here")
+    table = pq.read_table(pages)
+    for page in table.column("html").to_pylist():
+        plain = ArticleText()
+        plain.feed(page or "")
+        assert extract.main_text(page) == " ".join("".join(plain.parts).split())
+
+
 def test_deep_and_long_pages_take_linear_time():
     assert extract.main_text("<div>" * 50_000 + "deep") == "deep"
     assert len(extract.main_text("<p>word " * 50_000).split()) == 50_000
