@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TECHNIQUES = ("bitmap", "cpu", "hybrid", "prefix")
+#: Techniques in the order in which equally cheap ones are preferred.
+TECHNIQUES = ("bitmap", "cpu", "prefix", "hybrid")
 FEATURES = ("set_size_std", "avg_set_size", "token_freq", "dataset_size", "dataset_size_square", "universe_size", "index_size", "bitmap")
 
 
@@ -44,14 +45,14 @@ def cost(coefficients: dict[str, float], bits: int = 0) -> Column:
 
 
 def choose(pair_features: DataFrame, coefficients: dict[str, dict[str, float]], bits: int = 0) -> DataFrame:
-    """The cheapest technique of each pair (left, right, technique, cost), the first by name of equals.
+    """The cheapest technique of each pair (left, right, technique, cost), of equals the first in TECHNIQUES.
 
     Without signature bits there is no bitmap technique.
     """
-    names = [n for n in sorted(coefficients) if n != "bitmap" or bits > 0]
+    names = [n for n in TECHNIQUES if n in coefficients and (n != "bitmap" or bits > 0)]
     if not names:
         raise ValueError("no technique to choose from")
-    costs = F.array(*(F.struct(cost(coefficients[n], bits).alias("cost"), F.lit(n).alias("technique")) for n in names))
+    costs = F.array(*(F.struct(cost(coefficients[n], bits).alias("cost"), F.lit(k).alias("k"), F.lit(n).alias("technique")) for k, n in enumerate(names)))
     return pair_features.select("left", "right", F.array_min(costs).alias("best")).select("left", "right", "best.technique", "best.cost")
 
 

@@ -48,3 +48,8 @@ def index_offsets(collection: DataFrame, measure: Jaccard, universe: int) -> Dat
 def postings(collection: DataFrame, measure: Jaccard) -> DataFrame:
     """The inverted index, a row per entry: token, set_id, pos, n."""
     return prefix_entries(collection, measure, "index").select("token", "set_id", "pos", "n")
+
+
+def block_postings(blocked: DataFrame, measure: Jaccard, block_id: int) -> DataFrame:
+    """The inverted index of one block of a collection with block_id: token, set_id, pos, n."""
+    return postings(blocked.where(F.col("block_id") == block_id), measure)

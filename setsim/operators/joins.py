@@ -2,17 +2,21 @@
 
 Every strategy gives the same pairs (id1, id2), the probe first: the set that follows in
 the order of (size, id). They differ in how candidates are found and verified.
+
+A collection may say which of its sets probe and which are indexed, in boolean columns
+`probing` and `indexed`; without them all are both. A pair is found if its probe probes and
+its other set is indexed, so parts of a join are joined without the pairs of other parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bitmaps import signature
 from ..functions.similarity import Jaccard
 from ..plans.stages import stage
-from .filters import bitmap_filter, block_summary, length_filter, probe_first, surviving_block_pairs
+from .filters import bitmap_filter, block_summary, length_filter, probe_first, surviving_block_pairs, surviving_block_runs
 from .index import prefix_entries
 from .partitions import with_blocks
 from .verify import candidate_lists, overlap, verify, verify_lists
@@ -23,11 +27,19 @@ CARRY_SIZE = 48
 MAX_BROADCAST_ENTRIES = 32 << 20
 
 
+def probing(collection: DataFrame) -> DataFrame:
+    return collection.where("probing") if "probing" in collection.columns else collection
+
+
+def indexed(collection: DataFrame) -> DataFrame:
+    return collection.where("indexed") if "indexed" in collection.columns else collection
+
+
 def naive(collection: DataFrame, measure: Jaccard) -> DataFrame:
     """Counts the shared tokens of all pairs that share one; the yardstick for the others."""
-    entries = collection.select("set_id", "n", F.explode("tokens").alias("token"))
-    one = entries.select(F.col("set_id").alias("id1"), F.col("n").alias("n1"), "token")
-    two = entries.select(F.col("set_id").alias("id2"), F.col("n").alias("n2"), "token")
+    entries = lambda sets: sets.select("set_id", "n", F.explode("tokens").alias("token"))
+    one = entries(probing(collection)).select(F.col("set_id").alias("id1"), F.col("n").alias("n1"), "token")
+    two = entries(indexed(collection)).select(F.col("set_id").alias("id2"), F.col("n").alias("n2"), "token")
     n1, n2 = F.col("n1"), F.col("n2")
     pairs = one.join(two, "token").where(probe_first(n1, F.col("id1"), n2, F.col("id2")) & length_filter(measure, n1, n2))
     counted = pairs.groupBy("id1", "n1", "id2", "n2").agg(F.count("*").alias("shared"))
@@ -56,9 +68,9 @@ def prefix_join(collection: DataFrame, measure: Jaccard, positional: bool, keep:
     if size is None:
         size = entries_size(collection)[1]
     # lists are ordered by (n, id); ranges replace the scan that skips short sets and stops at long ones
-    index = prefix_entries(collection, measure, "index", keep)
+    index = prefix_entries(indexed(collection), measure, "index", keep)
     index = index.select("token", measure.size_range(F.col("n")).alias("sizes"), *(F.col(c).alias(f"{a}2") for c, a in [("set_id", "id"), ("n", "n"), ("pos", "pos"), *((k, k) for k in keep)]))
-    probe = prefix_entries(collection, measure, "probe", keep)
+    probe = prefix_entries(probing(collection), measure, "probe", keep)
     ranges = F.sequence(measure.size_range(measure.minsize(F.col("n"))), measure.size_range(F.col("n")))
     probe = probe.select("token", F.explode(ranges).alias("sizes"), *(F.col(c).alias(f"{a}1") for c, a in [("set_id", "id"), ("n", "n"), ("pos", "pos"), *((k, k) for k in keep)]))
     n1, n2 = F.col("n1"), F.col("n2")
@@ -73,9 +85,17 @@ def prefix_candidates(collection: DataFrame, measure: Jaccard, positional: bool
     return prefix_join(collection, measure, positional).select("id1", "id2").distinct()
 
 
-def prefix_filtered(collection: DataFrame, measure: Jaccard, positional: bool, carry: bool | None = None, bits: int = 0) -> DataFrame:
+def candidate_overlaps(collection: DataFrame, measure: Jaccard, positional: bool = False) -> DataFrame:
+    """Candidate pairs with the number of tokens that their prefixes share: id1, id2, overlap."""
+    return prefix_join(collection, measure, positional).groupBy("id1", "id2").agg(F.count("*").alias("overlap"))
+
+
+def prefix_filtered(collection: DataFrame, measure: Jaccard, positional: bool, carry: bool | None = None, bits: int = 0, keep: tuple[str, ...] = (), condition: Column | None = None) -> DataFrame:
     """The prefix-filter join. With bits, signatures of that size drop candidates before they are verified.
 
+    condition is a further filter on pairs of entries, over the columns in keep, numbered 1
+    for the probe's and 2 for the indexed set's.
+
     Small sets travel with their prefix entries: a pair is verified where its entries meet,
     at the first token their prefixes share, so one shuffle does all and no pair is made
     twice. Large sets would be copied once per prefix token; their candidates are made
@@ -86,16 +106,15 @@ def prefix_filtered(collection: DataFrame, measure: Jaccard, positional: bool, c
         carry = mean <= CARRY_SIZE
     if bits:
         collection = stage(collection.withColumn("signature", signature(F.col("tokens"), bits)), "signed")
-    keep = ("signature",) if bits else ()
+        keep = (*keep, "signature")
     n1, n2 = F.col("n1"), F.col("n2")
-    if not carry:
-        found = prefix_join(collection, measure, positional, keep, bare)
-        if bits:
-            found = found.where(bitmap_filter(measure, n1, n2, F.col("signature1"), F.col("signature2"), bits))
-        return verify(found.select("id1", "id2").distinct(), collection, measure)
-    found = prefix_join(collection, measure, positional, ("tokens", *keep), carrying)
+    found = prefix_join(collection, measure, positional, ("tokens", *keep) if carry else keep, carrying if carry else bare)
+    if condition is not None:
+        found = found.where(condition)
     if bits:
         found = found.where(bitmap_filter(measure, n1, n2, F.col("signature1"), F.col("signature2"), bits))
+    if not carry:
+        return verify(found.select("id1", "id2").distinct(), collection, measure)
     t1, t2 = F.col("tokens1"), F.col("tokens2")
     head1, head2 = (F.slice(t, F.lit(1), F.greatest(F.lit(1), p)) for t, p in ((t1, F.col("pos1") + 1), (t2, F.col("pos2") + 1)))
     first_shared = F.size(F.array_intersect(head1, head2)) == 1
@@ -122,14 +141,16 @@ def block_keys(blocked: DataFrame, measure: Jaccard) -> DataFrame:
 
 
 def prefix_blocked(collection: DataFrame, measure: Jaccard, block_size: int = 10_000) -> DataFrame:
-    """The prefix join within surviving pairs of blocks: entries meet by token and by block pair."""
-    blocked = with_blocks(collection, block_size)
-    pairs = block_keys(blocked, measure)
-    index = prefix_entries(blocked, measure, "index", ("block_id",)).select("token", F.col("block_id").alias("index_block"), F.col("set_id").alias("id2"), F.col("n").alias("n2"))
-    probe = prefix_entries(blocked, measure, "probe", ("block_id",)).select("token", F.col("block_id").alias("probe_block"), F.col("set_id").alias("id1"), F.col("n").alias("n1"))
-    n1, n2 = F.col("n1"), F.col("n2")
-    found = probe.join(pairs, "probe_block").join(index, ["token", "index_block"]).where(probe_first(n1, F.col("id1"), n2, F.col("id2")) & length_filter(measure, n1, n2))
-    return verify(found.select("id1", "id2").distinct(), collection, measure)
+    """The prefix join within surviving pairs of blocks.
+
+    The blocks that survive with a probe's block are one run, so entries meet by token and
+    range of sizes, once for each, and a pair stays if its indexed block lies in the run.
+    """
+    blocked = stage(with_blocks(collection, block_size), "blocked")
+    runs = stage(surviving_block_runs(stage(block_summary(blocked), "blocks"), measure), "block-runs")
+    with_run = blocked.join(runs.withColumnRenamed("probe_block", "block_id"), "block_id")
+    in_run = F.col("block_id2").between(F.col("first1"), F.col("block_id1"))
+    return prefix_filtered(with_run, measure, False, keep=("block_id", "first"), condition=in_run)
 
 
 def bitmap_candidates(collection: DataFrame, measure: Jaccard, bits: int = 64, block_size: int = 10_000) -> DataFrame:
@@ -140,8 +161,8 @@ def bitmap_candidates(collection: DataFrame, measure: Jaccard, bits: int = 64, b
     """
     signed = stage(with_blocks(collection, block_size).withColumn("signature", signature(F.col("tokens"), bits)), "signed")
     pairs = block_keys(signed, measure)
-    one = signed.select(F.col("block_id").alias("probe_block"), F.col("set_id").alias("id1"), F.col("n").alias("n1"), F.col("signature").alias("b1"))
-    two = signed.select(F.col("block_id").alias("index_block"), F.col("set_id").alias("id2"), F.col("n").alias("n2"), F.col("signature").alias("b2"))
+    one = probing(signed).select(F.col("block_id").alias("probe_block"), F.col("set_id").alias("id1"), F.col("n").alias("n1"), F.col("signature").alias("b1"))
+    two = indexed(signed).select(F.col("block_id").alias("index_block"), F.col("set_id").alias("id2"), F.col("n").alias("n2"), F.col("signature").alias("b2"))
     n1, n2 = F.col("n1"), F.col("n2")
     met = one.join(pairs, "probe_block").join(two, "index_block").where(probe_first(n1, F.col("id1"), n2, F.col("id2")) & length_filter(measure, n1, n2))
     return met.where(bitmap_filter(measure, n1, n2, F.col("b1"), F.col("b2"), bits)).select("id1", "id2")

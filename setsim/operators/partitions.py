@@ -53,17 +53,14 @@ def partitioned(collection: DataFrame, measure: Jaccard, part: Column, parts: in
     """The self-join as a union of joins, one per part: its probes against all sets up to its last.
 
     `collection` has dense_id; `part` is an expression on its rows that ascends with
-    dense_id. Sets that only are there to be met are marked and their own pairs dropped, so
-    any strategy can be used.
+    dense_id. Only the part's own sets probe, so no pair is made twice; any strategy can be used.
     """
     parted = collection.withColumn("part", part)
     out: DataFrame | None = None
     for k in range(parts):
-        reach = parted.where(F.col("part") <= k)
-        pairs = join(reach.select("set_id", "tokens", "n"), measure)
-        probes = reach.where(F.col("part") == k).select(F.col("set_id").alias("id1"))
-        mine = pairs.join(probes, "id1", "left_semi")
-        out = mine if out is None else out.unionByName(mine)
+        sides = parted.where(F.col("part") <= k).select("set_id", "tokens", "n", (F.col("part") == k).alias("probing"))
+        pairs = join(sides, measure)
+        out = pairs if out is None else out.unionByName(pairs)
     if out is None:
         raise ValueError("a collection has one part at least")
     return out

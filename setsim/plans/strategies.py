@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.options import memory_entries
 from ..functions.options import policy as parse_policy
 from ..functions.similarity import MEASURES, Jaccard
 from ..operators import cost, joins, partitions, statistics
@@ -17,8 +18,12 @@ from .stages import Timer, stage
 Join = Callable[[DataFrame, Jaccard], DataFrame]
 
 
-def strategies(block_size: int = 10_000, bits: int = 64, entries: int = 1 << 20) -> dict[str, Join]:
-    """All strategies with the given options; each takes a collection and a measure."""
+def strategies(block_size: int = 10_000, bits: int = 64, entries: int | str = 1 << 20) -> dict[str, Join]:
+    """All strategies with the given options; each takes a collection and a measure.
+
+    entries, the length of candidate lists, may be a size in memory such as 512M.
+    """
+    entries = memory_entries(entries) if isinstance(entries, str) else entries
     return {
         "naive": joins.naive,
         "allpairs": joins.allpairs,
@@ -44,14 +49,14 @@ def measure_of(threshold: float, name: str = "jaccard") -> Jaccard:
     return MEASURES[name](threshold)
 
 
-def similarity_join(collection: DataFrame, threshold: float = 0.95, algorithm: str = "ppjoin", **options: int) -> DataFrame:
+def similarity_join(collection: DataFrame, threshold: float = 0.95, algorithm: str = "ppjoin", measure: str = "jaccard", **options: int) -> DataFrame:
     """Similar pairs (id1, id2) of a collection."""
-    return strategy(algorithm, **options)(collection, measure_of(threshold))
+    return strategy(algorithm, **options)(collection, measure_of(threshold, measure))
 
 
-def similarity_join_count(collection: DataFrame, threshold: float = 0.95, algorithm: str = "ppjoin", **options: int) -> DataFrame:
+def similarity_join_count(collection: DataFrame, threshold: float = 0.95, algorithm: str = "ppjoin", measure: str = "jaccard", **options: int) -> DataFrame:
     """One row n_pairs; equal sets are counted, not expanded."""
-    return joins.count_by_classes(collection, strategy(algorithm, **options), measure_of(threshold))
+    return joins.count_by_classes(collection, strategy(algorithm, **options), measure_of(threshold, measure))
 
 
 def sqrt_partitioned(collection: DataFrame, threshold: float, parts: int = 2, algorithm: str = "ppjoin") -> DataFrame:
@@ -75,10 +80,8 @@ def dichotomy(collection: DataFrame, threshold: float, split: float = 50, policy
     n_blocks = -(-blocked.count() // block_size)
     parted = blocked.withColumn("is_small", partitions.dichotomy(F.col("block_id"), n_blocks, split))
     measure = measure_of(threshold)
-    sets = lambda df: df.select("set_id", "tokens", "n")
-    within = small(sets(parted.where("is_small")), measure)
-    probes = parted.where("not is_small").select(F.col("set_id").alias("id1"))
-    return within.unionByName(large(sets(parted), measure).join(probes, "id1", "left_semi"))
+    within = small(parted.where("is_small").select("set_id", "tokens", "n"), measure)
+    return within.unionByName(large(parted.select("set_id", "tokens", "n", (~F.col("is_small")).alias("probing")), measure))
 
 
 def block_pair_queue(collection: DataFrame, threshold: float, block_size: int = 10_000) -> DataFrame:
@@ -100,21 +103,29 @@ def cost_based(collection: DataFrame, threshold: float, coefficients: dict[str,
     out: DataFrame | None = None
     for r in runs:
         both = parted.where(F.col("part").isin(r["left"], r["right"]))
-        pairs = strategy(BY_TECHNIQUE[r["technique"]], **({"bits": bits} if bits else {}))(both.select("set_id", "tokens", "n"), measure)
-        if r["left"] != r["right"]:
-            side = parted.select("set_id", "part")
-            pairs = pairs.join(side.toDF("id1", "p1"), "id1").join(side.toDF("id2", "p2"), "id2").where("p1 <> p2").select("id1", "id2")
+        sides = both.select("set_id", "tokens", "n", (F.col("part") == r["right"]).alias("probing"), (F.col("part") == r["left"]).alias("indexed"))
+        pairs = strategy(BY_TECHNIQUE[r["technique"]], **({"bits": bits} if bits else {}))(sides, measure)
         out = pairs if out is None else out.unionByName(pairs)
     return out if out is not None else strategy("ppjoin")(collection, measure)
 
 
-def run(collection: DataFrame, threshold: float = 0.95, algorithm: str = "ppjoin", output: str = "", timer: Timer | None = None, **options: int) -> int:
-    """Writes the pairs to `output`, or only counts them if it is empty; gives their number."""
+#: Joins composed of others, by name; each takes a collection, a threshold and options of its own.
+COMPOSED = {"sqrt_partitioned": sqrt_partitioned, "even_partitioned": even_partitioned, "dichotomy": dichotomy, "block_pair_queue": block_pair_queue, "cost_based": cost_based}
+
+
+def run(collection: DataFrame, threshold: float = 0.95, algorithm: str = "ppjoin", output: str = "", timer: Timer | None = None, **options) -> int:
+    """Writes the pairs of a strategy or a composed join to `output`, or only counts them if it is empty; gives their number."""
     timer = timer or Timer()
     with timer.interval("join"):
-        if not output:
+        if algorithm in COMPOSED:
+            pairs = COMPOSED[algorithm](collection, threshold, **options)
+            if not output:
+                return pairs.count()
+        elif not output:
             return similarity_join_count(collection, threshold, algorithm, **options).first()["n_pairs"]
-        pairs = stage(similarity_join(collection, threshold, algorithm, **options), "pairs")
+        else:
+            pairs = similarity_join(collection, threshold, algorithm, **options)
+        pairs = stage(pairs, "pairs")
     with timer.interval("output"):
         write_pairs(pairs, output)
         return pairs.count()

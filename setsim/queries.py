@@ -111,6 +111,9 @@ def parted_sql(name: str, t: float, parts: int) -> str:
     return f"WITH {dense_sql(name, t, 1)}, parted AS (SELECT id, n, dense_id // CAST(ceil((SELECT count(*) FROM d) / {parts}.0) AS BIGINT) AS part FROM d), {FEATURES_SQL}"
 
 
+#: Index entries of each set.
+ENTRIES_SQL = "i AS (SELECT id, count(*) AS entries FROM b WHERE pos < index_len GROUP BY id)"
+
 # queries
 
 BLOCK, PARTS = 1000, 4
@@ -220,6 +223,27 @@ def hybrid_lists(s: SparkSession, d: str) -> DataFrame:
     return lists.select("id1", F.explode("candidates").alias("id2"))
 
 
+def length_bounds(s: SparkSession, d: str) -> DataFrame:
+    """Both length filters on all pairs of the few sizes that occur, the probe's first."""
+    m, sizes = Jaccard(0.9), load(s, d, "user_days").select(F.col("n").cast("long").alias("n")).distinct()
+    listed = sizes.agg(F.sort_array(F.collect_set("n")).alias("every"))  # sizes of sets, not sets
+    both = listed.select(F.explode("every").alias("n1"), "every").select("n1", F.explode(F.filter("every", lambda n: n <= F.col("n1"))).alias("n2"))
+    return both.select("n1", "n2", filters.length_filter(m, F.col("n1"), F.col("n2")).alias("long_enough"), filters.upper_length_filter(m, F.col("n1"), F.col("n2")).alias("short_enough"))
+
+
+def cost_file(s: SparkSession, d: str) -> DataFrame:
+    """Coefficients written to a file and read back."""
+    path = f"{stage_dir(s)}/coefficients-{uuid.uuid4().hex}"
+    s.createDataFrame([(COEFFICIENTS.replace("\n", " "),)], "value string").coalesce(1).write.text(path)
+    table = cost.read_coefficients(s, path, 0.5)
+    return s.createDataFrame([(t, f, w) for t, ws in table.items() for f, w in ws.items()], "technique string, feature string, weight double").withColumn("weight", F.round("weight", 9))
+
+
+def run_composed(s: SparkSession, d: str) -> DataFrame:
+    """The number of pairs that a program composed of several joins gives."""
+    return s.createDataFrame([(strategies.run(load(s, d, "user_days"), 0.8, "dichotomy", split=50, policy="ppjoin,allpairs", block_size=20),)], "n_pairs long")
+
+
 def registry() -> dict[str, tuple[Query, str]]:
     """Each query with its SQL."""
     op, ud = "order_parts", "user_days"
@@ -279,8 +303,29 @@ SELECT count(*) AS n, round(sum(n), 6) AS total, round(min(n), 6) AS least, roun
  round(avg((n - m) * (n - m) * (n - m)) / pow(max(v), 1.5), 6) AS skew, round(avg((n - m) * (n - m) * (n - m) * (n - m)) / (max(v) * max(v)), 6) AS kurt FROM z, a""",
         ),
         "block_summary": (
-            (lambda s, d: filters.block_summary(blocked(s, d, op, BLOCK))),
-            f"WITH {all_ids()} SELECT block_id, min(dense_id) AS start_id, max(dense_id) AS end_id, count(*) AS n_sets, CAST(sum(n) AS BIGINT) AS n_tokens, min(n) AS min_n, max(n) AS max_n FROM k GROUP BY block_id",
+            (lambda s, d: rounded(filters.block_summary(blocked(s, d, op, BLOCK), Jaccard(0.5)))),
+            f"WITH {all_ids()}, {ENTRIES_SQL} SELECT block_id, min(dense_id) AS start_id, max(dense_id) AS end_id, count(*) AS n_sets, CAST(sum(n) AS BIGINT) AS n_tokens, round(avg(n), 6) AS avg_set_size, min(n) AS min_n, max(n) AS max_n, CAST(sum(entries) AS BIGINT) AS entries FROM k JOIN i USING (id) GROUP BY block_id",
+        ),
+        "largest_block": (
+            (lambda s, d: filters.largest_block(filters.block_summary(blocked(s, d, op, BLOCK), Jaccard(0.5)))),
+            f"WITH {all_ids()}, {ENTRIES_SQL} SELECT CAST(max(entries) AS BIGINT) AS max_entries FROM (SELECT sum(entries) AS entries FROM k JOIN i USING (id) GROUP BY block_id)",
+        ),
+        "block_postings": (
+            (lambda s, d: index.block_postings(blocked(s, d, op, BLOCK), Jaccard(0.5), 1).select("token", "set_id", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"))),
+            f"WITH {all_ids()} SELECT token, b.id AS set_id, pos, b.n AS n FROM b JOIN k USING (id) WHERE pos < index_len AND block_id = 1",
+        ),
+        "candidate_overlaps": (
+            (lambda s, d: joins.candidate_overlaps(load(s, d, ud), Jaccard(0.9))),
+            candidates_sql(ud, 0.9, False).replace("SELECT DISTINCT id1, id2 FROM p", "SELECT id1, id2, count(*) AS overlap FROM p") + " GROUP BY id1, id2",
+        ),
+        "length_bounds": (
+            length_bounds,
+            f"""WITH {sets_sql(ud)}, z AS (SELECT DISTINCT count(*) AS n FROM s GROUP BY id) SELECT a.n AS n1, b.n AS n2, b.n >= CAST(ceil(0.9::DOUBLE * a.n::DOUBLE) AS BIGINT) AS long_enough, b.n <= CAST(floor(a.n::DOUBLE / 0.9::DOUBLE) AS BIGINT) AS short_enough FROM z a JOIN z b ON a.n >= b.n""",
+        ),
+        "cost_file": (cost_file, "SELECT technique, feature, round(weight, 9) AS weight FROM (VALUES " + ", ".join(f"('{t}', '{f}', {w!r}::DOUBLE)" for t, ws in sorted(cost.coefficients_of(COEFFICIENTS, 0.5).items()) for f, w in sorted(ws.items())) + ") AS t(technique, feature, weight)"),
+        "run_composed_count": (
+            run_composed,
+            f"{count_sql(ud, 0.8)}",
         ),
         "block_pairs_surviving": (
             (lambda s, d: filters.surviving_block_pairs(stage(filters.block_summary(blocked(s, d, op, BLOCK)), "blocks"), Jaccard(0.5))),

@@ -65,7 +65,8 @@ def parse_line(line: Column, mode: str = "strict") -> Column:
     """
     fields = F.filter(F.split(line, r"\s+"), lambda f: f != "")
     if mode == "strict":
-        return F.transform(fields, lambda f: f.cast("long"))
+        number = lambda f: f.try_cast("long")
+        return F.transform(fields, lambda f: F.when(number(f).isNotNull(), number(f)).otherwise(F.raise_error(F.concat(F.lit("no whole number: "), f)).cast("long")))
     if mode == "lenient":
         number = lambda f: F.regexp_extract(f, r"^([+-]?\d+)", 1)
         return F.transform(fields, lambda f: F.coalesce(F.when(number(f) == "", F.lit(0)).otherwise(number(f).try_cast("long")), F.lit(0)).cast("long"))

@@ -169,12 +169,57 @@ def test_malformed_fields(spark, tmp_path):
     (tmp_path / "bad.txt").write_text("1 x 12abc\n")
     path = f"file://{tmp_path}/bad.txt"
     assert [list(r.tokens) for r in collections.read_lines(spark, path, "lenient").collect()] == [[1, 0, 12]]
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        collections.read_lines(spark, path).collect()
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(Exception, match="no whole number: x"):
+                collections.read_lines(spark, path).collect()
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
     with pytest.raises(ValueError):
         collections.read_lines(spark, path, "other")
 
 
+@pytest.mark.parametrize("name", list(strategies.strategies()))
+def test_sides_of_a_join(coll, sets, name):
+    sided = coll.select("set_id", "tokens", "n", (F.col("set_id") % 3 != 0).alias("probing"), (F.col("set_id") % 2 == 0).alias("indexed"))
+    got = pairs(strategies.strategy(name, block_size=7)(sided, Jaccard(0.5)))
+    assert got == {(a, b) for a, b in plain(sets, 0.5) if a % 3 and b % 2 == 0}
+
+
+def test_programs_by_name(coll, sets, tmp_path):
+    exact = plain(sets, 0.8)
+    table = {t: {"Intercept": float(k)} for k, t in enumerate(("prefix", "hybrid", "cpu"))}
+    options = {"sqrt_partitioned": {"parts": 3}, "even_partitioned": {"parts": 2, "block_size": 9}, "dichotomy": {"split": 30, "block_size": 9}, "block_pair_queue": {"block_size": 9}, "cost_based": {"coefficients": table, "parts": 2}}
+    assert set(options) == set(strategies.COMPOSED)
+    for name, given in options.items():
+        assert strategies.run(coll, 0.8, name, **given) == len(exact)
+    assert strategies.run(coll, 0.8, "dichotomy", f"file://{tmp_path}/out", split=60, block_size=5) == len(exact)
+    assert pairs(sinks.read_pairs(coll.sparkSession, f"file://{tmp_path}/out")) == exact
+    with pytest.raises(ValueError):
+        strategies.similarity_join(coll, 0.8, measure="other")
+
+
+def test_candidate_overlaps_and_block_index(coll, sets):
+    m = Jaccard(0.5)
+    counted = {(r.id1, r.id2): r.overlap for r in joins.candidate_overlaps(coll, m).collect()}
+    assert set(counted) == pairs(joins.prefix_candidates(coll, m)) and min(counted.values()) >= 1
+    blocked = partitions.with_blocks(coll, 7)
+    rows = filters.block_summary(blocked, m).collect()
+    for r in rows:
+        listed = index.block_postings(blocked, m, r.block_id).count()
+        assert r.entries == listed and r.avg_set_size == pytest.approx(r.n_tokens / r.n_sets)
+    assert filters.largest_block(filters.block_summary(blocked, m)).first()["max_entries"] == max(r.entries for r in rows)
+
+
+def test_ties_of_the_cost_model(spark):
+    row = spark.createDataFrame([(0, 0, 1.0, 1.0, 1.0, 1, 1, 1)], "left int, right int, set_size_std double, avg_set_size double, token_freq double, dataset_size long, universe_size long, index_size long")
+    tied = {t: {"Intercept": 1.0} for t in cost.TECHNIQUES}
+    for gone, wanted in ((set(), "bitmap"), ({"bitmap"}, "cpu"), ({"bitmap", "cpu"}, "prefix")):
+        assert cost.choose(row, {t: c for t, c in tied.items() if t not in gone}, 64).first()["technique"] == wanted
+
+
 def test_statistics(coll, sets):
     m = Jaccard(0.5)
     one = statistics.partition_features(coll.withColumn("part", F.lit(0)), m, 30).first()
