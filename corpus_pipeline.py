@@ -1,4 +1,10 @@
-"""Corpus preparation as a chain of stages; each reads what its predecessor kept."""
+"""Corpus preparation as a chain of stages; each reads what its predecessor kept.
+
+All stages take null texts, ids and languages, empty texts, repeated rows and empty tables:
+null and empty texts have nothing to be judged by and pass quality, decontamination and
+redaction as they are; of them, as of any group of near copies, one stays; repeated rows are
+judged alike, and an empty table stays empty. Columns of any name are carried along.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from setsim.llm import mixing, perplexity, personal_data, phrase_index, simhash
+from setsim.llm.queries import EPOCHS, TARGETS
 from setsim.llm.shared import KEY, ROW, discard, keyed, table, without_keys, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: Shares of tokens by domain that the last stage aims at, after the first has removed most low-quality text.
-TARGETS = {"clean": 0.94, "low": 0.01, "toxic": 0.05}
-#: Tokens wanted per token there is; above 1 by enough that clean documents keep a rate of 1 at least.
-EPOCHS = 1.25
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents whose perplexity the classifier rejects."""
     judged = perplexity.classify(docs, table(spark, sf_dir, "labels"))
@@ -41,8 +42,12 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds rates that bring the domains to their target shares; documents of no copy go."""
-    return mixing.mix_rows(docs, mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS, epochs=EPOCHS)
+    """Adds rates that bring the domains to the mixing query's target shares; documents of no copy go.
+
+    The low-quality domain, which the first stage has removed, has no target: nothing could supply it.
+    """
+    targets = {d: share for d, share in TARGETS.items() if d != "low"}
+    return mixing.mix_rows(docs, mixing.label_domains(table(spark, sf_dir, "labels")), targets, epochs=EPOCHS)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("mix", mix)]

@@ -13,16 +13,19 @@ expression of the steps taken, so no per-document state is shuffled or kept.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import KEY, row_key, sampled, written
 
-#: Most labelled rows the classifier is fitted to, and most words of its lexica.
-MAX_LABELLED, MAX_LEXICON = 8_000, 64
+#: Most labelled rows the classifier is fitted to; its lexica have all of their words that pass a test.
+MAX_LABELLED = 8_000
 #: Half the likelihood-ratio statistic that a word of a lexicon must pass.
 LEAST_GAIN = 15.0
+#: Odds from which a word alone tells a domain.
+STRONG = 16.0
 BINS, SMOOTHING = 10, 0.5
 SHARES = ["__marks", "__capitals", "__repeats"]
 SPACE = r"[ \t-\r]+"
@@ -50,17 +53,18 @@ def with_words(rows: DataFrame, text: str) -> DataFrame:
 
 
 def with_hits(rows: DataFrame, lexica: list[list[str]]) -> DataFrame:
-    """Adds for each domain how many of its lexicon's words a row has, up to BINS - 1."""
-    none = F.lit(0)
-    hits = (F.size(F.array_intersect("__words", F.array(*map(F.lit, words)))) if words else none for words in lexica)
-    return rows.withColumns({f"__hits{k}": F.least(h, F.lit(BINS - 1)) for k, h in enumerate(hits)})
+    """Adds for each lexicon how many of its words a row has: exact up to 4, then by doublings, 80 and more alike."""
+    size = lambda words: F.size(F.array_intersect("__words", F.split(F.lit(" ".join(words)), " "))) if words else F.lit(0)
+    binned = lambda n: F.when(n < 5, n).otherwise(F.least(5 + F.floor(F.log2(n / 5)), F.lit(BINS - 1))).cast("int")
+    hit = rows.withColumns({f"__n{k}": size(words) for k, words in enumerate(lexica)})
+    return hit.withColumns({f"__hits{k}": binned(F.col(f"__n{k}")) for k in range(len(lexica))})
 
 
-def fit_lexica(labelled: DataFrame, domains: list[str], most: int = MAX_LEXICON) -> list[list[str]]:
-    """For each domain the words that point to it: at least twice as likely there as overall.
+def fit_lexica(labelled: DataFrame, domains: list[str]) -> list[list[str]]:
+    """For each domain two lists of words that point to it: at least twice as likely there as elsewhere, and STRONG times.
 
-    Words are ranked by their likelihood-ratio statistic against independence of the domain,
-    and those that chance could explain are left out; `most` rows reach the driver.
+    All words whose likelihood-ratio statistic against independence of the domain is beyond
+    what chance could explain; no more reach the driver than the bounded sample has.
     """
     per = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # one row a domain
     n_d = [per.get(d, 0) for d in domains]
@@ -72,12 +76,14 @@ def fit_lexica(labelled: DataFrame, domains: list[str], most: int = MAX_LEXICON)
     for k, n in enumerate(n_d):
         c, part = F.col(f"c{k}"), n / total
         gain = gain + term(c, all_c * part) + term(F.lit(n) - c, (F.lit(total) - all_c) * part)
-    lift = F.greatest(F.lit(0.0), *(F.col(f"c{k}") / F.lit(max(n, 1)) for k, n in enumerate(n_d)))
-    top = seen.withColumn("gain", gain).where((F.col("gain") > LEAST_GAIN) & (lift * total >= 2 * all_c)).orderBy(F.desc("gain"), "w").limit(most).collect()
-    lexica: list[list[str]] = [[] for _ in domains]
-    for r in top:
-        rates = [r[f"c{k}"] / max(n, 1) for k, n in enumerate(n_d)]
-        lexica[rates.index(max(rates))].append(r["w"])
+    kept = seen.withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "w").collect()
+    lexica: list[list[str]] = [[] for _ in range(2 * len(domains))]
+    for r in kept:
+        here = [r[f"c{k}"] for k in range(len(domains))]
+        lift = [(c + SMOOTHING) / (n + 1) * (total - n + 1) / (sum(here) - c + SMOOTHING) for c, n in zip(here, n_d)]
+        best = max(range(len(domains)), key=lift.__getitem__)
+        if lift[best] >= 2:
+            lexica[2 * best + (lift[best] >= STRONG)].append(r["w"])
     return lexica
 
 
@@ -118,7 +124,11 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def fit_rates(soft: DataFrame, targets: dict[str, float], epochs: float = 1.0, steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Column:
-    """The fitted rate as an expression of n_tokens and posterior (an array, in the order of targets)."""
+    """The fitted rate as an expression of n_tokens and posterior (an array, in the order of targets).
+
+    Rates that still miss a target after all steps, as they must if no document can supply a
+    domain, are the least-squares ones so far, and a warning names the distance.
+    """
     k = range(len(targets))
     n, p = F.col("n_tokens").cast("double"), [F.col("posterior")[i] for i in range(len(targets))]
     total = soft.agg(F.sum(n)).first()[0] or 0.0
@@ -139,6 +149,9 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], epochs: float = 1.0, s
         for i, mu in enumerate(solve(gram, left)):
             move = move + p[i] * F.lit(mu)
         rate = F.greatest(F.lit(0.0), rate + move)
+    else:
+        if total and steps:
+            warnings.warn(f"after {steps} steps a domain still misses its target by {max(map(abs, left)) / size:.4f} of all tokens", stacklevel=2)
     return rate
 
 
@@ -146,9 +159,12 @@ def soft_membership(docs: DataFrame, labelled: DataFrame, domains: list[str], id
     """A written table id_col, __row_key, keep, n_tokens, posterior; one row per input row."""
     rows = docs.select(F.col(id_col), *keep, F.col(text).alias("__text")).withColumn(KEY, row_key(id_col, "__text"))
     sample = written(sampled(labelled.where(F.col("domain").isin(domains)), id_col, max_labelled), "labelled")  # max_labelled ids at most
-    training = written(with_words(rows.join(F.broadcast(sample), id_col), "__text").select("domain", "__words", *SHARES), "training")
+    training = with_words(rows.join(F.broadcast(sample), id_col), "__text").select("domain", "__words", *SHARES)
+    # Copies would count a text's chance words as evidence again and again: of texts with the same four least word hashes one is learnt from.
+    least = F.slice(F.array_sort(F.transform(F.array_distinct("__words"), lambda w: F.xxhash64(w))), 1, 4)
+    training = written(training.withColumn("__least", least).groupBy("domain", "__least").agg(F.min_by(F.struct("__words", *SHARES), F.xxhash64("__words")).alias("one")).select("domain", "one.*"), "training")
     lexica = fit_lexica(training, domains)
-    groups = [*SHARES, *(f"__hits{k}" for k in range(len(domains)))]
+    groups = [*SHARES, *(f"__hits{k}" for k in range(len(lexica)))]
     prior, tables = fit_tables(written(with_hits(training, lexica).select("domain", *groups), "bins"), domains, groups)
     binned = with_hits(with_words(rows, "__text"), lexica)
     return written(binned.select(id_col, *keep, KEY, "n_tokens", posterior(prior, tables).alias("posterior")), "soft")
@@ -170,9 +186,15 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     return out.withColumn("n_copies", copies)
 
 
-def mix_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text", epochs: float = 1.0) -> DataFrame:
-    """The rows of docs that get a copy at least, with rate and n_copies; both replace columns so named."""
-    whole = docs.select(F.col(id_col), F.col(text), F.struct(*docs.columns).alias("__row"))
-    mixed = mix(whole, labelled, targets, id_col, text, keep=("__row",), epochs=epochs).where("n_copies > 0")
+def mix_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text", epochs: float = 1.0, repeat: bool = False) -> DataFrame:
+    """The rows of docs that get a copy at least, with rate and n_copies; both replace columns so named.
+
+    With repeat, each row is there n_copies times. Null and wordless texts have no tokens to
+    weigh and get the rate of their posterior; repeated rows each count; an empty table gives none.
+    """
+    whole = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t"), F.struct(*docs.columns).alias("__row"))
+    mixed = mix(whole, labelled.withColumnRenamed(id_col, "__id"), targets, "__id", "__t", keep=("__row",), epochs=epochs).where("n_copies > 0")
     rest = [c for c in docs.columns if c not in ("rate", "n_copies")]
+    if repeat:
+        mixed = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
     return mixed.select(*(F.col("__row")[c].alias(c) for c in rest), "rate", "n_copies")

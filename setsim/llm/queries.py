@@ -16,13 +16,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Shares of tokens by domain, for the mixing query and the pipeline's last stage.
-TARGETS = {"clean": 0.90, "low": 0.04, "toxic": 0.06}
+#: Shares of tokens by domain, and tokens wanted per token there is, for the mixing query and the pipeline's last stage.
+TARGETS, EPOCHS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}, 1.25
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
-    found = mixing.mix(table(spark, sf_dir, "documents"), labelled, TARGETS, keep=("source",))
+    found = mixing.mix(table(spark, sf_dir, "documents"), labelled, TARGETS, keep=("source",), epochs=EPOCHS)
     chances = (F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(TARGETS))
     return found.select("doc_id", "source", "n_tokens", *chances, "rate", "n_copies")
 
@@ -51,8 +51,12 @@ FROM d JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)
 """
 
 
+#: Words by which each word of a window may be out of place in a near match.
+SLOP = 1
+
+
 def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     return found.select(
         "doc_id",
         "n_words",
@@ -60,6 +64,7 @@ def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_join(F.array_except("near_items", "items"), ",").alias("near_items"),
     )
 
 

@@ -658,6 +658,49 @@ def test_mixing_cases(spark, docs, rows):
     assert mixing.mix(docs, none, targets).count() == len(rows)
 
 
+def test_mixing_learns_rare_telling_words_and_warns(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"word{int(300 * rng.random() ** 1.5)}" for _ in range(60))
+    clean = [(k, text()) for k in range(240)]
+    toxic = [(1000 + k, text() + f" vile{k % 3} " + text()) for k in range(60)]
+    copies = [(2000 + k, toxic[0][1]) for k in range(40)]
+    docs = spark.createDataFrame([*clean, *toxic, *copies], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "clean" if i < 1000 else "toxic") for i, _ in [*clean, *toxic, *copies] if i % 2], "doc_id long, domain string")
+    got = {r.doc_id: r for r in mixing.mix(docs, labelled, {"clean": 0.98, "toxic": 0.02}, epochs=1.2).collect()}
+    assert all((r.posterior[1] > 0.5) == (i >= 1000) for i, r in got.items() if i % 2 == 0)
+    assert all(r.n_copies > 0 for i, r in got.items() if i < 1000) and sum(r.n_copies > 0 for i, r in got.items() if i >= 1000) < 30
+    rows = mixing.mix_rows(docs, labelled, {"clean": 0.98, "toxic": 0.02}, epochs=1.2, repeat=True)
+    assert Counter(r.doc_id for r in rows.collect()) == Counter({i: r.n_copies for i, r in got.items()})
+    soft = spark.createDataFrame([(10, [1.0, 0.0])] * 3, "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="misses its target"):
+        mixing.fit_rates(soft, {"a": 0.5, "b": 0.5}, steps=3)
+
+
+def plain_rates(rows, targets, epochs, steps):
+    """Projected steps in numpy: rates, and what is left of the targets."""
+    n, p = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
+    wanted = epochs * n.sum() * np.array(targets) / sum(targets)
+    rate = np.ones(len(n))
+    for _ in range(steps):
+        left = wanted - (n * rate) @ p
+        if np.abs(left).max() <= mixing.TOLERANCE * epochs * n.sum():
+            break
+        free = n * (rate > 0)
+        rate = np.maximum(0, rate + p @ np.linalg.solve((p * free[:, None]).T @ p + 1e-6 * n.sum() * np.eye(p.shape[1]), left))
+    return rate
+
+
+def test_rates_match_plain_steps(spark):
+    rng = random.Random(15)
+    rows = []
+    for _ in range(300):
+        p = [rng.random() ** 3, rng.random()]
+        rows.append((rng.randint(0, 200), [x / sum(p) for x in p]))
+    soft = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, n_tokens long, posterior array<double>")
+    got = [r.rate for r in soft.withColumn("rate", mixing.fit_rates(soft, {"a": 0.1, "b": 0.9}, 1.3)).orderBy("k").collect()]
+    assert np.allclose(got, plain_rates(rows, [0.1, 0.9], 1.3, mixing.MAX_STEPS), atol=1e-9)
+
+
 def test_posteriors_on_held_out_rows(spark):
     docs, marks = noisy(spark)
     got = mixing.mix(docs, mixing.label_domains(marks), {"clean": 0.5, "low": 0.5}).collect()
@@ -679,6 +722,18 @@ def plain_closest(text):
     return max((round(d / norm, 6), name) for (name, _), d in dots.items()) if dots and norm else (0.0, "")
 
 
+def test_names_that_operators_use_are_left_alone(spark, rows):
+    """Rows whose own columns have the names of inner ones come back as they were."""
+    names = ["__row_key", "__row", "__text", "__id", "__key", "__words", "__spans", "__clean", "__t"]
+    docs = spark.createDataFrame([(*r[:4], *(f"{c}{k}" for c in names)) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    marks, items = labels(spark, rows), spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")
+    before = set(map(tuple, docs.drop("text").collect()))
+    for got in (simhash.keep_one(docs), personal_data.redact(docs), mixing.mix_rows(docs, mixing.label_domains(marks), {"clean": 1.0}).drop("rate", "n_copies")):
+        assert got.columns == docs.columns and set(map(tuple, got.drop("text").collect())) <= before
+    for got in (perplexity.classify(docs, marks), quality_rules.apply_rules(docs, marks), phrase_index.decontaminate(docs, items), suffix_dedup.remove_repeats(docs), language_model.score(docs), simhash.near_duplicates(docs), personal_data.find_spans(docs)):
+        assert got.count() == len(rows)
+
+
 def test_license_scan(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     rows = [
