@@ -126,9 +126,11 @@ def near_sorted(sorted_values: np.ndarray, wanted: np.ndarray, slop: int) -> np.
 
 
 def occurrences(phrase: np.ndarray, lists: dict[int, np.ndarray], slop: int) -> np.ndarray:
-    """Starts at which each term lies within slop words of its place, from the rarest term on."""
+    """Starts from which each term lies within slop words of its place, from the rarest term on."""
     order = sorted(range(len(phrase)), key=lambda k: len(lists[phrase[k]]))
     starts = lists[phrase[order[0]]] - order[0]
+    if slop:
+        starts = np.unique(starts[:, None] + np.arange(-slop, slop + 1))
     for k in order[1:]:
         starts = starts[near_sorted(lists[phrase[k]] - k, starts, slop)]
         if not len(starts):
@@ -170,7 +172,8 @@ def match(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
                     for d in np.unique(found >> SHIFT).tolist():
                         exact[d].update(owners[p])
                 if slop:
-                    for d in np.unique((occurrences(matrix[p], lists, slop) + slop) >> SHIFT).tolist():
+                    near_starts = occurrences(matrix[p], lists, slop) + slop + matrix.shape[1]  # a start may lie before its document
+                    for d in np.unique(near_starts >> SHIFT).tolist():
                         near[d].update(owners[p])
         covered: list[list[dict]] = [[] for _ in range(len(n_words))]
         if starts:

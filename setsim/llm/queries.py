@@ -56,7 +56,7 @@ SLOP = 1
 
 
 def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+    found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",
@@ -64,10 +64,15 @@ def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.array_join(F.array_except("near_items", "items"), ",").alias("near_items"),
     )
 
 
+def phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which all words of a window are near their places, though no exact copy need be: doc_id and the items."""
+    found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+    return found.where(F.size("near_items") > 0).select("doc_id", F.array_join("items", ",").alias("items"), F.array_join("near_items", ",").alias("near_items"))
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -107,46 +112,50 @@ def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: a folder for each source, and in it one for each language."""
+    """Documents as files, each in a folder of its own: nothing says that they belong together, so none inherits from another."""
     docs = table(spark, sf_dir, "documents")
-    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string"), F.lit("text.txt")).alias("path"), "text")
     return licenses.scan(files, keep=("doc_id",))
 
 
 def op10_sql() -> str:
-    idf, rows, other = licenses.vectors()
+    """Weights are computed from the templates' texts anew, and all passages are compared."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    idfs = ", ".join(f"({quoted(t)}, {v!r}::DOUBLE)" for t, v in sorted(idf.items()))
-    weights = ", ".join(f"({quoted(a)}, {b}, {quoted(c)}, {d!r}::DOUBLE)" for a, b, c, d in rows)
+    listed = ", ".join(f"({quoted(name)}, {k}, {quoted(text)})" for name, texts in licenses.TEMPLATES.items() for k, text in enumerate(texts))
     return rf"""
-WITH idf(term, idf) AS (VALUES {idfs}), tv(license, notice, term, weight) AS (VALUES {weights}),
-d AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' AS dir, doc_id || '.txt' AS name, text FROM documents),
+WITH templates(license, notice, text) AS (VALUES {listed}),
+tt AS (SELECT license, notice, term, count(*) AS tf FROM (SELECT license, notice, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
+total AS (SELECT count(*)::DOUBLE AS n FROM templates),
+idf AS (SELECT term, ln((max(n) + 1) / (count(*) + 1)) + 1 AS idf FROM tt, total GROUP BY term),
+tw AS (SELECT license, notice, term, (1 + ln(tf)) * idf AS w FROM tt JOIN idf USING (term)),
+tn AS (SELECT license, notice, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL),
+tv AS (SELECT license, notice, term, w / norm AS weight FROM tw JOIN tn USING (license, notice)),
+d AS (SELECT doc_id, coalesce(source, 'none') || '/' || doc_id || '/text.txt' AS path, text FROM documents),
 l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '
 ?
 ')) AS q FROM d UNION ALL
   SELECT doc_id, q FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '
 [ 	
 ]*
-')) AS q FROM d) WHERE contains(q, chr(10))),
-p AS (SELECT DISTINCT doc_id, trim(q) AS q FROM l WHERE regexp_matches(q, '{licenses.CUE}')),
+')) AS q FROM d) WHERE contains(q, chr(10)) UNION ALL
+  SELECT doc_id, text FROM d WHERE len(text) <= 4000 AND contains(text, chr(10))),
+p AS (SELECT DISTINCT doc_id, trim(q) AS q FROM l WHERE NOT regexp_matches(q, '{licenses.DENIED}')),
 u AS (SELECT q, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT q FROM p)),
 f AS (SELECT q, term, count(*) AS tf FROM u GROUP BY q, term),
-w AS (SELECT q, term, tf, (1 + ln(tf)) * coalesce(idf, {other!r}::DOUBLE) AS w FROM f LEFT JOIN idf USING (term)),
-n AS (SELECT q, sqrt(sum(w * w)) AS norm, CAST(sum(tf) AS BIGINT) AS n_terms FROM w GROUP BY q),
+w AS (SELECT q, term, tf, (1 + ln(tf)) * coalesce(idf, ln(n + 1) + 1) AS w FROM f LEFT JOIN idf USING (term), total),
+n AS (SELECT q, sqrt(sum(w * w)) AS norm FROM w GROUP BY q),
 t AS (SELECT q, license, notice, sum(w * weight) AS dot FROM w JOIN tv USING (term) GROUP BY ALL),
-b AS (SELECT q, max({{'dot': round(dot, 9), 'license': license}}) AS best FROM t GROUP BY q),
-c AS (SELECT q, best.license AS license, round(best.dot / norm, 6) AS cosine, n_terms FROM b JOIN n USING (q) WHERE round(best.dot / norm, 6) >= {licenses.LEAST_COSINE}),
-o AS (SELECT doc_id, max({{'cosine': cosine, 'license': license, 'n_terms': n_terms}}) AS own FROM p JOIN c USING (q) GROUP BY doc_id),
-v AS (SELECT dir, max({{'cosine': own.cosine, 'license': own.license}}) AS best FROM o JOIN d USING (doc_id)
-  WHERE own.n_terms >= {licenses.FILE_SHARE} * len(regexp_split_to_array(trim(text), '\s+')) GROUP BY dir)
-SELECT d.doc_id, d.dir || name AS path, own.license AS own_license, own.cosine AS cosine, coalesce(own.license, best.license) AS license,
-  CASE WHEN own IS NULL AND best IS NOT NULL THEN d.dir END AS inherited_from
-FROM d LEFT JOIN o USING (doc_id) LEFT JOIN v ON v.dir = d.dir
+g AS (SELECT q, license, round(max(dot), 9) AS dot FROM t GROUP BY ALL),
+b AS (SELECT q, license, dot, row_number() OVER (PARTITION BY q ORDER BY dot DESC, license DESC) AS place FROM g),
+c AS (SELECT b.q, b.license, round(b.dot / norm, 6) AS cosine, round(coalesce(s.dot, 0) / norm, 6) AS next FROM b JOIN n USING (q) LEFT JOIN b s ON s.q = b.q AND s.place = 2 WHERE b.place = 1),
+o AS (SELECT doc_id, max({{'cosine': cosine, 'license': license}}) AS own FROM p JOIN c USING (q) WHERE cosine >= {licenses.LEAST_COSINE} AND round(cosine - next, 6) >= {licenses.LEAD} GROUP BY doc_id)
+SELECT d.doc_id, path, own.license AS own_license, own.cosine AS cosine, own.license AS license, CAST(NULL AS VARCHAR) AS inherited_from
+FROM d LEFT JOIN o USING (doc_id)
 """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_extract, op3_suffix_dedup, op4_phrase_index, op5_quality_rules, op6_simhash, op7_language_model, op8_personal_data, op9_perplexity, op10_licenses)}
+    return {f.__name__: f for f in (op1_mixing, op2_extract, op3_suffix_dedup, op4_phrase_index, op5_quality_rules, op6_simhash, op7_language_model, op8_personal_data, op9_perplexity, op10_licenses, phrase_proximity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -212,6 +212,24 @@ def test_proximity(spark):
     assert got == {1: ([], ["9"]), 2: (["9"], ["9"]), 3: ([], [])}
 
 
+def test_proximity_against_a_plain_version(spark):
+    rng = random.Random(17)
+    docs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40)))) for k in range(60)]
+    items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))) for k in range(8)]
+
+    def near(text, item, window=4, slop=1):
+        x, y = text.split(), item.split()
+        at = {}
+        for p, word in enumerate(x):
+            at.setdefault(word, set()).add(p)
+        windows = [y[k : k + window] for k in range(max(1, len(y) - window + 1))]
+        return any(all(any(s + k + d in at.get(word, ()) for d in range(-slop, slop + 1)) for k, word in enumerate(win)) for win in windows for s in range(-slop - window, len(x) + slop))
+
+    as_frame = lambda rows, names: spark.createDataFrame(rows, names)
+    got = {r.doc_id: r.near_items for r in phrase_index.decontaminate(as_frame(docs, "doc_id long, text string"), as_frame(items, "item_id long, text string"), window=4, slop=1).collect()}
+    assert got == {i: sorted(str(j) for j, u in items if near(t, u)) for i, t in docs}
+
+
 # 5 quality rules
 
 
@@ -711,15 +729,18 @@ def test_posteriors_on_held_out_rows(spark):
 # 10 licenses
 
 
-def plain_closest(text):
-    idf, vecs, other = licenses.vectors()
-    terms = re.findall("[a-z0-9]+", text.lower())
-    weights = {t: (1 + math.log(terms.count(t))) * idf.get(t, other) for t in terms}
-    norm = math.sqrt(sum(x * x for x in weights.values()))
-    dots = Counter()
-    for name, k, t, x in vecs:
-        dots[name, k] += x * weights.get(t, 0.0)
-    return max((round(d / norm, 6), name) for (name, _), d in dots.items()) if dots and norm else (0.0, "")
+def plain_cosines(text):
+    """Cosines to all templates, by license the largest, from the texts of the templates alone."""
+    split = lambda t: Counter(re.findall("[a-z0-9]+", t.lower()))
+    templates = [(name, split(t)) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    df = Counter(x for _, c in templates for x in c)
+    idf = lambda x: math.log((len(templates) + 1) / (df[x] + 1)) + 1
+    vector = lambda c: {x: (1 + math.log(n)) * idf(x) for x, n in c.items()}
+    unit = lambda v: {x: w / math.sqrt(sum(y * y for y in v.values())) for x, w in v.items()}
+    own, out = unit(vector(split(text))), {}
+    for name, c in templates:
+        out[name] = max(out.get(name, 0.0), sum(w * own.get(x, 0.0) for x, w in unit(vector(c)).items()))
+    return out
 
 
 def test_names_that_operators_use_are_left_alone(spark, rows):
@@ -757,8 +778,38 @@ def test_license_scan(spark):
 def test_license_cosines(spark):
     texts = [t for ts in licenses.TEMPLATES.values() for t in ts] + ["licensed under the public license", "copyright copyright me", "license"]
     frame_ = spark.createDataFrame([(t,) for t in texts], "passage string")
-    named = frame_.withColumn("passage_id", F.xxhash64("passage"))
-    got = {r.passage: (r.cosine, r.license) for r in licenses.closest(frame_).join(named, "passage_id").collect()}
+    named = frame_.withColumn("passage_id", shared.row_key("passage"))
+    got = {r.passage: r for r in licenses.closest(frame_).join(named, "passage_id").collect()}
     for t in texts:
-        cosine, name = plain_closest(t)
-        assert (got[t][0] if t in got else 0.0) == pytest.approx(cosine, abs=2e-6)
+        first, second = sorted(plain_cosines(t).values(), reverse=True)[:2]
+        assert (got[t].cosine if t in got else 0.0) == pytest.approx(first, abs=2e-6)
+        assert (got[t].lead if t in got else 0.0) == pytest.approx(first - second, abs=4e-6)
+
+
+def test_no_close_passage_is_without_a_needed_term():
+    rng = random.Random(21)
+    needed = set(licenses.needed_terms(licenses.LEAST_COSINE))
+    terms = sorted({x for ts in licenses.TEMPLATES.values() for t in ts for x in re.findall("[a-z0-9]+", t.lower())})
+    for _ in range(400):
+        t = rng.choice([t for ts in licenses.TEMPLATES.values() for t in ts])
+        words = [x for x in re.findall("[a-z0-9]+", t.lower()) if rng.random() < 0.7] + rng.choices(terms, k=rng.randint(0, 3))
+        left = " ".join(x for x in words if x not in needed)
+        assert max(plain_cosines(left).values(), default=0) < licenses.LEAST_COSINE if left else True
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3", "AGPL-3.0"),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+        ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Zlib"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("This code is not licensed under the MIT License.", None),
+        ("A story about the public, and of a version of it.", None),
+    ],
+)
+def test_licenses_by_notice(spark, text, name):
+    (got,) = licenses.scan(spark.createDataFrame([("a/b.txt", "Some words before.\n\n" + text + "\n\nand after it")], "path string, text string")).collect()
+    assert got.own_license == name
