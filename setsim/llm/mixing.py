@@ -54,7 +54,10 @@ def with_words(rows: DataFrame, text: str) -> DataFrame:
 
 def with_hits(rows: DataFrame, lexica: list[list[str]]) -> DataFrame:
     """Adds for each lexicon how many of its words a row has: exact up to 4, then by doublings, 80 and more alike."""
-    size = lambda words: F.size(F.array_intersect("__words", F.split(F.lit(" ".join(words)), " "))) if words else F.lit(0)
+    listed = lambda words: F.split(F.lit(" ".join(words)), " ")
+    size = lambda words: F.size(F.array_intersect(listed(words), F.col("__known"))) if words else F.lit(0)
+    every = [w for words in lexica for w in words]
+    rows = rows.withColumn("__known", F.array_intersect(listed(every), F.col("__words")) if every else F.array().cast("array<string>"))  # the row's words are hashed once
     binned = lambda n: F.when(n < 5, n).otherwise(F.least(5 + F.floor(F.log2(n / 5)), F.lit(BINS - 1))).cast("int")
     hit = rows.withColumns({f"__n{k}": size(words) for k, words in enumerate(lexica)})
     return hit.withColumns({f"__hits{k}": binned(F.col(f"__n{k}")) for k in range(len(lexica))})
