@@ -30,7 +30,7 @@ BINS, SMOOTHING = 10, 0.5
 SHARES = ["__marks", "__capitals", "__repeats"]
 SPACE = r"[ \t-\r]+"
 #: Characters whose shares are features: marks, and capital letters.
-MARKS, CAPITALS = "#*$%&|<>!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS, CAPITALS = "[#*$%&|<>!]", "[A-Z]"
 MAX_STEPS, TOLERANCE = 40, 1e-4
 
 
@@ -45,7 +45,7 @@ def with_words(rows: DataFrame, text: str) -> DataFrame:
     """Adds __words, the lower-cased words, n_tokens, and a bin from 0 to 9 of each share."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = rows.withColumn("__words", F.filter(F.split(F.lower(t), SPACE), lambda w: w != ""))
-    share = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))) / F.greatest(F.length(t), F.lit(1))
+    share = lambda chars: F.regexp_count(t, F.lit(chars)) / F.greatest(F.length(t), F.lit(1))
     binned = lambda x: F.least(F.floor(x * 10), F.lit(BINS - 1)).cast("int")
     n = F.size("__words")
     repeats = 1 - F.size(F.array_distinct("__words")) / F.greatest(n, F.lit(1))

@@ -119,7 +119,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sql() -> str:
-    """Weights are computed from the templates' texts anew, and all passages are compared."""
+    """Weights are computed from the templates' texts anew."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     listed = ", ".join(f"({quoted(name)}, {k}, {quoted(text)})" for name, texts in licenses.TEMPLATES.items() for k, text in enumerate(texts))
     return rf"""
@@ -138,7 +138,7 @@ l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '
 [ 	
 ]*
 ')) AS q FROM d) WHERE contains(q, chr(10))),
-p AS (SELECT DISTINCT doc_id, trim(q) AS q FROM l WHERE NOT regexp_matches(q, '{licenses.DENIED}')),
+p AS (SELECT DISTINCT doc_id, trim(q) AS q FROM l WHERE regexp_matches(q, '{licenses.CUE}') AND NOT regexp_matches(q, '{licenses.DENIED}')),
 u AS (SELECT q, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT q FROM p)),
 f AS (SELECT q, term, count(*) AS tf FROM u GROUP BY q, term),
 w AS (SELECT q, term, tf, (1 + ln(tf)) * coalesce(idf, ln(n + 1) + 1) AS w FROM f LEFT JOIN idf USING (term), total),

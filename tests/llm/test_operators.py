@@ -786,16 +786,8 @@ def test_license_cosines(spark):
         assert (got[t].lead if t in got else 0.0) == pytest.approx(first - second, abs=4e-6)
 
 
-def test_no_close_passage_is_without_a_needed_term():
-    rng = random.Random(21)
-    one, several = licenses.needed_terms(licenses.LEAST_COSINE)
-    terms = sorted({x for ts in licenses.TEMPLATES.values() for t in ts for x in re.findall("[a-z0-9]+", t.lower())})
-    for _ in range(600):
-        t = rng.choice([t for ts in licenses.TEMPLATES.values() for t in ts])
-        words = [x for x in re.findall("[a-z0-9]+", t.lower()) if rng.random() < 0.7] + rng.choices(terms, k=rng.randint(0, 3))
-        left = {x for x in words if x not in one}
-        if left and not any(len(left & set(common)) >= n for common, n in several):
-            assert max(plain_cosines(" ".join(x for x in words if x in left)).values()) < licenses.LEAST_COSINE
+def test_templates_have_cues():
+    assert [t for ts in licenses.TEMPLATES.values() for t in ts if not re.search(licenses.CUE, t)] == []
 
 
 @pytest.mark.parametrize(
