@@ -44,7 +44,7 @@ def label_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def with_words(rows: DataFrame, text: str) -> DataFrame:
     """Adds __words, the lower-cased words, n_tokens, and a bin from 0 to 9 of each share."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = rows.withColumn("__words", F.filter(F.split(F.lower(t), SPACE), lambda w: w != ""))
+    rows = rows.withColumn("__words", F.array_remove(F.split(F.lower(t), SPACE), ""))
     share = lambda chars: F.regexp_count(t, F.lit(chars)) / F.greatest(F.length(t), F.lit(1))
     binned = lambda x: F.least(F.floor(x * 10), F.lit(BINS - 1)).cast("int")
     n = F.size("__words")
@@ -52,12 +52,17 @@ def with_words(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumns({"n_tokens": n.cast("long"), "__marks": binned(2 * share(MARKS)), "__capitals": binned(share(CAPITALS)), "__repeats": binned(repeats)})
 
 
+def among(column: str, words: list[str]) -> Column:
+    """The elements of an array column that are among the words: one look-up each in a set that is built once, not per row."""
+    listed = ", ".join(f"cast(X'{w.encode().hex()}' AS string)" for w in words)  # as bytes, no word can upset the parser
+    return F.expr(f"filter(`{column}`, w -> w IN ({listed}))")
+
+
 def with_hits(rows: DataFrame, lexica: list[list[str]]) -> DataFrame:
     """Adds for each lexicon how many of its words a row has: exact up to 4, then by doublings, 80 and more alike."""
-    listed = lambda words: F.split(F.lit(" ".join(words)), " ")
-    size = lambda words: F.size(F.array_intersect(listed(words), F.col("__known"))) if words else F.lit(0)
+    size = lambda words: F.size(among("__known", words)) if words else F.lit(0)
     every = [w for words in lexica for w in words]
-    rows = rows.withColumn("__known", F.array_intersect(listed(every), F.col("__words")) if every else F.array().cast("array<string>"))  # the row's words are hashed once
+    rows = rows.withColumn("__known", F.array_distinct(among("__words", every)) if every else F.array().cast("array<string>"))
     binned = lambda n: F.when(n < 5, n).otherwise(F.least(5 + F.floor(F.log2(n / 5)), F.lit(BINS - 1))).cast("int")
     hit = rows.withColumns({f"__n{k}": size(words) for k, words in enumerate(lexica)})
     return hit.withColumns({f"__hits{k}": binned(F.col(f"__n{k}")) for k in range(len(lexica))})

@@ -708,6 +708,19 @@ def plain_rates(rows, targets, epochs, steps):
     return rate
 
 
+def test_lexicon_hits_match_plain_sets(spark):
+    """Words of any characters; each counts once a row, in its own list."""
+    rng = random.Random(21)
+    odd = ["it's", 'say"', "a\\b", "${spark.app.name}", "x'41'", "%_", "naïve", "😀", "--", "w`", "\u00a0", "null"]
+    lexica = [odd[:7], [f"w{k}" for k in range(300)], [], odd[7:], ["one"]]
+    texts = [None, "", " \t\n", "ONE one", *(" ".join(rng.choices([*odd, *(f"W{k}" for k in range(600)), "rest"], k=rng.randint(1, 400))) for _ in range(40))]
+    rows = mixing.with_words(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    for r in mixing.with_hits(rows, lexica).collect():
+        plain = {x for x in re.split(r"[ \t-\r]+", lowered(r.text)) if x}
+        assert [r[f"__n{k}"] for k in range(5)] == [len(plain & set(words)) for words in lexica]
+    assert all(r["__hits0"] == 0 for r in mixing.with_hits(rows, [[]]).collect())
+
+
 def test_rates_match_plain_steps(spark):
     rng = random.Random(15)
     rows = []
