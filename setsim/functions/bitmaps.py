@@ -42,3 +42,28 @@ def hamming(a: Column, b: Column, bits: int) -> Column:
 def overlap_bound(n1: Column, n2: Column, distance: Column) -> Column:
     """Most tokens that sets of these sizes can share at this distance of their signatures."""
     return (n1.cast("double") + n2.cast("double") - distance.cast("double")) / 2.0
+
+
+#: Universes up to this size have their sets as bits.
+MAX_UNIVERSE = 256
+
+
+def exact_bits(tokens: Column, universe: int) -> list[Column]:
+    """A set of tokens from 0 to below universe as words, bit for bit."""
+    words = signature(tokens, max(1, universe))
+    return [words[w] for w in range(bitmap_words(max(1, universe)))]
+
+
+def bits_below(word: Column, w: int, token: Column) -> Column:
+    """Of a set's word w, the bits of tokens below a token."""
+    at = token - F.lit(w * WORD_BITS)
+    mask = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), at.cast("int")))
+    return F.when(at >= WORD_BITS, word).when(at <= 0, F.lit(0).cast("long")).otherwise(word.bitwiseAND(mask))
+
+
+def shared_bits(a: list[Column], b: list[Column]) -> Column:
+    """Tokens that two sets of bits share."""
+    out: Column = F.lit(0).cast("long")
+    for x, y in zip(a, b, strict=True):
+        out = out + F.bit_count(x.bitwiseAND(y)).cast("long")
+    return out

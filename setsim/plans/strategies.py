@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.options import memory_entries
 from ..functions.options import policy as parse_policy
 from ..functions.similarity import MEASURES, Jaccard
-from ..operators import cost, joins, partitions, statistics
+from ..operators import classes, cost, joins, partitions, statistics
 from ..sources.collections import with_dense_ids
 from ..sources.sinks import write_pairs
 from .stages import Timer, stage
@@ -50,8 +51,9 @@ def measure_of(threshold: float, name: str = "jaccard") -> Jaccard:
 
 
 def similarity_join(collection: DataFrame, threshold: float = 0.95, algorithm: str = "ppjoin", measure: str = "jaccard", **options: int) -> DataFrame:
-    """Similar pairs (id1, id2) of a collection."""
-    return strategy(algorithm, **options)(collection, measure_of(threshold, measure))
+    """Similar pairs (id1, id2) of a collection; copies are joined once and expanded at the end."""
+    join, bounds = strategy(algorithm, **options), measure_of(threshold, measure)
+    return classes.joined(collection, lambda sets: join(sets, bounds))
 
 
 def similarity_join_count(collection: DataFrame, threshold: float = 0.95, algorithm: str = "ppjoin", measure: str = "jaccard", **options: int) -> DataFrame:
@@ -59,6 +61,17 @@ def similarity_join_count(collection: DataFrame, threshold: float = 0.95, algori
     return joins.count_by_classes(collection, strategy(algorithm, **options), measure_of(threshold, measure))
 
 
+def between_classes(composed: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A composed join whose parts hold one set of each class of copies."""
+
+    @wraps(composed)
+    def joined(collection: DataFrame, *args, **options) -> DataFrame:
+        return classes.joined(collection, lambda sets: composed(sets, *args, **options))
+
+    return joined
+
+
+@between_classes
 def sqrt_partitioned(collection: DataFrame, threshold: float, parts: int = 2, algorithm: str = "ppjoin") -> DataFrame:
     """Parts that balance the triangle of pairs."""
     dense = with_dense_ids(collection)
@@ -66,6 +79,7 @@ def sqrt_partitioned(collection: DataFrame, threshold: float, parts: int = 2, al
     return partitions.partitioned(dense, measure_of(threshold), partitions.square_root(F.col("dense_id"), n, parts), parts, strategy(algorithm))
 
 
+@between_classes
 def even_partitioned(collection: DataFrame, threshold: float, parts: int = 2, block_size: int = 10_000, algorithm: str = "ppjoin") -> DataFrame:
     """Parts of equally many blocks."""
     blocked = stage(partitions.with_blocks(collection, block_size), "blocked")
@@ -73,6 +87,7 @@ def even_partitioned(collection: DataFrame, threshold: float, parts: int = 2, bl
     return partitions.partitioned(blocked, measure_of(threshold), partitions.even(F.col("block_id"), n_blocks, parts), parts, strategy(algorithm))
 
 
+@between_classes
 def dichotomy(collection: DataFrame, threshold: float, split: float = 50, policy: str = "ppjoin,allpairs", block_size: int = 10_000) -> DataFrame:
     """Two joins: the smaller sets among themselves, and the larger ones with all; each by its own strategy."""
     small, large = (strategy(x) for x in parse_policy(policy))
@@ -118,9 +133,9 @@ def run(collection: DataFrame, threshold: float = 0.95, algorithm: str = "ppjoin
     timer = timer or Timer()
     with timer.interval("join"):
         if algorithm in COMPOSED:
-            pairs = COMPOSED[algorithm](collection, threshold, **options)
             if not output:
-                return pairs.count()
+                return joins.count_by_classes(collection, lambda sets, m: COMPOSED[algorithm](sets, m.threshold, **options), measure_of(threshold)).first()["n_pairs"]
+            pairs = COMPOSED[algorithm](collection, threshold, **options)
         elif not output:
             return similarity_join_count(collection, threshold, algorithm, **options).first()["n_pairs"]
         else:
