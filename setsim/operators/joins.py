@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.bitmaps import MAX_UNIVERSE, bitmap_words, bits_below, exact_bits, shared_bits, signature
 from ..functions.similarity import Jaccard
 from ..plans.stages import stage
-from . import classes
+from . import cells, classes
 from .filters import bitmap_filter, block_summary, length_filter, probe_first, surviving_block_pairs, surviving_block_runs
 from .index import prefix_entries
 from .partitions import with_blocks
@@ -193,12 +193,14 @@ def prefix_filtered(collection: DataFrame, measure: Jaccard, positional: bool, c
 
     Small sets travel with their prefix entries: a pair is verified where its entries meet,
     at the first token their prefixes share, so one shuffle does all and no pair is made
-    twice. Large sets would be copied once per prefix token; their candidates are made
-    distinct and the sets joined to them.
+    twice. Large sets would be copied once per prefix token; they are joined in cells, and
+    with a condition or carry=False, their candidates are made distinct and the sets joined to them.
     """
     seen = shape(collection, measure)
     if carry is None:
         carry = seen.mean <= CARRY_SIZE or seen.words > 0
+        if not carry and condition is None:
+            return cells.cell_join(collection, measure, cells.Method(positional=positional, bits=bits))
     if bits:
         collection = stage(collection.withColumn("signature", signature(F.col("tokens"), bits)), "signed")
         keep = (*keep, "signature")
