@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import ranked
-from ..plans.stages import stage
+from ..plans.stages import discard, stage
 
 WORD = "[^a-z0-9]+"
 #: Tokens of a universe whose ranks are broadcast; larger ones are joined by a shuffle.
@@ -42,9 +42,16 @@ def _encoded(raw: DataFrame) -> DataFrame:
     ranks = ranked(tokens.groupBy("token").agg(F.count("*").alias("df")), ["df", "token"], "rank", at_most=at_most).select("token", F.col("rank").alias("tok"))
     ranks = stage(ranks, "ranks")
     if ranks.count() <= MAX_BROADCAST_TOKENS:
-        ranks = F.broadcast(ranks)
-    sets = tokens.join(ranks, "token").groupBy("set_id").agg(F.sort_array(F.collect_list("tok")).alias("tokens"))
-    return stage(sets.select("set_id", "tokens", F.size("tokens").alias("n")), "collection")
+        done = [raw, ranks]
+        numbered = tokens.join(F.broadcast(ranks), "token")
+    else:  # on their own, so that the files of this shuffle and the words go before the next one
+        numbered = stage(tokens.join(ranks, "token").select("set_id", "tok"), "numbered")
+        discard(raw, ranks)
+        done = [numbered]
+    sets = numbered.groupBy("set_id").agg(F.sort_array(F.collect_list("tok")).alias("tokens"))
+    collection = stage(sets.select("set_id", "tokens", F.size("tokens").alias("n")), "collection")
+    discard(*done)
+    return collection
 
 
 def from_arrays(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:

@@ -1,6 +1,7 @@
 """Joins of large sets in cells, against a plain join."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from setsim.functions.similarity import Jaccard
 from setsim.operators import cells, joins
 from setsim.plans import strategies
+from setsim.plans.stages import stage_dir
+from setsim.sources import collections
 
 from .test_joins import collection, pairs, plain
 
@@ -95,3 +98,15 @@ def test_cells_in_many_small_steps(monkeypatch, how, shift):
     one = cells.gathered([(1, size, packed) for packed, size in (cells.pack(np.array([k]), np.array([3]), np.array([len(s)]), s) for k, s in rows)])
     found = {(int(one.ids[p]), int(one.ids[x])) for p, c in cells.Cell(one, one, True, 0.5, how).pairs() for x in c}
     assert found == plain(sets, 0.5)
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_encoding_leaves_no_words(spark, sets, monkeypatch, broadcast):
+    """Of the stages by which tokens become ranks, those that are as large as the input are deleted."""
+    monkeypatch.setattr(collections, "MAX_BROADCAST_TOKENS", broadcast)
+    folder = Path(stage_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    made = collection(spark, sets)
+    left = {p.name for p in set(folder.iterdir()) - before}
+    assert not [name for name in left if name.startswith(("raw-sets", "numbered", "ranks"))]
+    assert {r.set_id: r.n for r in made.collect()} == {k: len(s) for k, s in sets.items()}
