@@ -224,6 +224,12 @@ def prefix_filtered(collection: DataFrame, measure: Jaccard, positional: bool, c
     return found.where(first_shared & (overlap(t1, t2) >= measure.minoverlap(n1, n2))).select("id1", "id2")
 
 
+def large(collection: DataFrame, measure: Jaccard) -> bool:
+    """Whether sets are too large to travel with entries or candidates."""
+    seen = shape(collection, measure)
+    return seen.mean > CARRY_SIZE and not seen.words
+
+
 def allpairs(collection: DataFrame, measure: Jaccard, carry: bool | None = None) -> DataFrame:
     return prefix_filtered(collection, measure, False, carry)
 
@@ -233,7 +239,12 @@ def ppjoin(collection: DataFrame, measure: Jaccard, carry: bool | None = None, b
 
 
 def hybrid(collection: DataFrame, measure: Jaccard, positional: bool, entries: int = 1 << 20) -> DataFrame:
-    """Filtering and verification as separate stages, with candidate lists of bounded length between them."""
+    """Filtering and verification as separate stages, with candidate lists of bounded length between them.
+
+    Between large sets the lists are a cell's, which verifies each and lets it go.
+    """
+    if large(collection, measure):
+        return cells.cell_join(collection, measure, cells.Method(positional=positional, entries=entries))
     lists = stage(candidate_lists(prefix_candidates(collection, measure, positional), entries), "candidate-lists")
     return verify_lists(lists, collection, measure)
 

@@ -100,6 +100,12 @@ def test_cells_in_many_small_steps(monkeypatch, how, shift):
     assert found == plain(sets, 0.5)
 
 
+@pytest.mark.parametrize("name", ["hybrid_allpairs", "hybrid_ppjoin"])
+def test_hybrid_joins_in_cells(coll, sets, small_chunks, monkeypatch, name):
+    monkeypatch.setattr(joins, "prefix_candidates", lambda *args: pytest.fail("candidates of large sets are shuffled"))
+    check_in_cells(coll, sets, monkeypatch, name, 0.5)
+
+
 @pytest.mark.parametrize("broadcast", [0, 500_000])
 def test_encoding_leaves_no_words(spark, sets, monkeypatch, broadcast):
     """Of the stages by which tokens become ranks, those that are as large as the input are deleted."""
