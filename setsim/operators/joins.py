@@ -283,6 +283,9 @@ def bitmap_candidates(collection: DataFrame, measure: Jaccard, bits: int = 64, b
 
 
 def bitmap(collection: DataFrame, measure: Jaccard, bits: int = 64, block_size: int = 10_000) -> DataFrame:
+    """All pairs of a range of sizes by signatures, verified; between large sets in cells, which are the blocks then."""
+    if large(collection, measure):
+        return cells.cell_join(collection, measure, cells.Method(prefixes=False, bits=bits))
     return verify(bitmap_candidates(collection, measure, bits, block_size), collection, measure)
 
 

@@ -106,6 +106,10 @@ def test_hybrid_joins_in_cells(coll, sets, small_chunks, monkeypatch, name):
     check_in_cells(coll, sets, monkeypatch, name, 0.5)
 
 
+def test_bitmap_joins_in_cells(coll, sets, small_chunks, monkeypatch):
+    check_in_cells(coll, sets, monkeypatch, "bitmap", 0.5)
+
+
 @pytest.mark.parametrize("broadcast", [0, 500_000])
 def test_encoding_leaves_no_words(spark, sets, monkeypatch, broadcast):
     """Of the stages by which tokens become ranks, those that are as large as the input are deleted."""
