@@ -134,6 +134,9 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 def fit_rates(soft: DataFrame, targets: dict[str, float], epochs: float = 1.0, steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Column:
     """The fitted rate as an expression of n_tokens and posterior (an array, in the order of targets).
 
+    The steps are a constant that one loop runs over, so plans have the same size after any
+    number of them; written out as nested expressions, 40 steps took the driver hundreds of MB.
+
     Rates that still miss a target after all steps, as they must if no document can supply a
     domain, are the least-squares ones so far, and a warning names the distance.
     """
@@ -142,25 +145,33 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], epochs: float = 1.0, s
     total = soft.agg(F.sum(n)).first()[0] or 0.0
     size = total * epochs
     wanted = [size * w / sum(targets.values()) for w in targets.values()]
-    rate: Column = F.lit(1.0)
+    moves: list[list[float]] = []
+
+    def moved(r: Column, m: Column) -> Column:
+        move: Column = F.lit(0.0)
+        for i in k:
+            move = move + p[i] * m[i]
+        return F.greatest(F.lit(0.0), r + move)
+
+    def after() -> Column:
+        return F.aggregate(F.array(*(F.array(*map(F.lit, m)) for m in moves)), F.lit(1.0), moved) if moves else F.lit(1.0)
+
     for _ in range(steps if total else 0):
+        rate = F.col("__rate")
         free = n * F.when(rate > 0, 1.0).otherwise(0.0)
         sums = [F.sum(n * p[i] * rate).alias(f"t{i}") for i in k] + [F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k if i <= j]
-        got = soft.agg(*sums).first()
+        got = soft.withColumn("__rate", after()).agg(*sums).first()
         left = [wanted[i] - (got[f"t{i}"] or 0.0) for i in k]
         if max(map(abs, left)) <= tolerance * size:
             break
         gram = [[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k]
         for i in k:
             gram[i][i] += 1e-6 * total
-        move: Column = F.lit(0.0)
-        for i, mu in enumerate(solve(gram, left)):
-            move = move + p[i] * F.lit(mu)
-        rate = F.greatest(F.lit(0.0), rate + move)
+        moves.append(solve(gram, left))
     else:
         if total and steps:
             warnings.warn(f"after {steps} steps a domain still misses its target by {max(map(abs, left)) / size:.4f} of all tokens", stacklevel=2)
-    return rate
+    return after()
 
 
 def soft_membership(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text: str, keep: tuple[str, ...] = (), max_labelled: int = MAX_LABELLED) -> DataFrame:

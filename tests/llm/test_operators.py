@@ -732,6 +732,22 @@ def test_rates_match_plain_steps(spark):
     assert np.allclose(got, plain_rates(rows, [0.1, 0.9], 1.3, mixing.MAX_STEPS), atol=1e-9)
 
 
+def test_rates_of_many_steps_keep_plans_small(spark):
+    """Only toxic rows and a target of none: every step is taken, and the plan is that of one step with more numbers."""
+    rows = [(k, 10 + k, [0.2 + k / 1000, 0.8 - k / 1000]) for k in range(50)]
+    soft = spark.createDataFrame(rows, "k int, n_tokens long, posterior array<double>")
+
+    def planned(steps):
+        with pytest.warns(UserWarning, match="misses its target"):
+            out = soft.withColumn("rate", mixing.fit_rates(soft, {"a": 1.0, "b": 0.0}, steps=steps))
+        return [r.rate for r in out.orderBy("k").collect()], out._jdf.queryExecution().optimizedPlan().toString().lower().count("greatest(")
+
+    (few, one), (many, same) = planned(1), planned(mixing.MAX_STEPS)
+    assert one == same == 1
+    for got, steps in ((few, 1), (many, mixing.MAX_STEPS)):
+        assert np.allclose(got, plain_rates([r[1:] for r in rows], [1.0, 0.0], 1.0, steps), atol=1e-6)
+
+
 def test_posteriors_on_held_out_rows(spark):
     docs, marks = noisy(spark)
     got = mixing.mix(docs, mixing.label_domains(marks), {"clean": 0.5, "low": 0.5}).collect()
